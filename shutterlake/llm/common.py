@@ -170,10 +170,7 @@ def shingles(h: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray
     out[target[take]] = total[np.flatnonzero(take)]
     for i in np.flatnonzero(~long & (size > 0)):
         own = h[offsets[i] : offsets[i + 1]]
-        value = np.uint64(len(own))
-        for k, w in enumerate(own):
-            value += w * factors[k]
-        out[out_offsets[i]] = value
+        out[out_offsets[i]] = np.uint64(len(own)) + (own * np.array(factors[: len(own)], np.uint64)).sum(dtype=np.uint64)
     return mix64(out), out_offsets
 
 

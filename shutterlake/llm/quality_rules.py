@@ -39,15 +39,15 @@ def _repeat_words(words: Column) -> Column:
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_pipes", "n_bangs", "n_caps4", "n_lines", "n_digits", "n_distinct_words")
 
 
-def measure(docs: DataFrame, text: str = "text") -> DataFrame:
+def measure(docs: DataFrame, text: str = "text", carry: str = "doc_id") -> DataFrame:
     """docs' doc_id with the columns of MEASURES (long). A null text counts as empty: no words, all zero.
 
     Repeated rows and null ids are measured like any other; other columns of
-    docs are not read.
+    docs are not read. carry names the column that stays beside the measures.
     """
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    base = docs.select(F.col("doc_id").alias("doc_id"), t.alias("t"))
-    arrays = base.select("doc_id", "t", F.filter(F.split("t", _SPACE), lambda w: w != "").alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
+    base = docs.select(F.col(carry).alias(carry), t.alias("t"))
+    arrays = base.select(carry, "t", F.filter(F.split("t", _SPACE), lambda w: w != "").alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     number = {
         "n_words": F.size("words"),
         "word_chars": F.char_length(F.array_join("words", "")),
@@ -61,7 +61,7 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_digits": F.regexp_count("t", F.lit("[0-9]")),
         "n_distinct_words": F.size(F.array_distinct("words")),
     }
-    return arrays.select("doc_id", *[number[k].cast("long").alias(k) for k in MEASURES])
+    return arrays.select(carry, *[number[k].cast("long").alias(k) for k in MEASURES])
 
 
 @dataclass(frozen=True)
@@ -92,12 +92,12 @@ BASE = 0b11
 POLICIES = {"base-1": BASE, "corpus-1": 0b1111111111}
 
 
-def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", carry: str = "doc_id") -> DataFrame:
     """measure() with fail_bits (long): bit b is set if the rule of bit b fails. An empty text fails only `short` and what its zeros fail."""
     bits = F.lit(0).cast("long")
     for rule in rules:
         bits = bits.bitwiseOR(F.when(F.expr(rule.fails), F.lit(1 << rule.bit).cast("long")).otherwise(F.lit(0).cast("long")))
-    return measure(docs, text).withColumn("fail_bits", bits)
+    return measure(docs, text, carry).withColumn("fail_bits", bits)
 
 
 def apply_policy(ledger_rows: DataFrame, mask: int) -> DataFrame:
@@ -121,3 +121,10 @@ def ablations(ledger_rows: DataFrame, mask: int, rules: tuple[Rule, ...] = RULES
         F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("failed_alone"),
         F.sum(F.when(alone | (F.col("bits") == 0), F.col("n")).otherwise(0)).alias("kept_without"),
     )
+
+
+def keep_rows(docs: DataFrame, mask: int) -> DataFrame:
+    """The rows of docs, all columns as they are, that the policy keeps. Without a shuffle: the row travels as one struct."""
+    row = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("text").alias("text"))
+    kept = apply_policy(ledger(row, carry="row"), mask).where("kept")
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import line_dedup, packing, quality_rules
+from shutterlake.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op1_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that is an item of the benchmark, give or take a fifth of its words."""
+    return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failed rules as bits, and the verdict of policy corpus-1."""
     rows = quality_rules.ledger(_table(spark, sf_dir, "documents"))
@@ -35,5 +40,10 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of each document."""
+    return ngram_join.jaccard_links(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op6_quality_ledger, op9_line_dedup)}
+    return {f.__name__: f for f in (op1_pack_binary, op4_decontaminate, op6_quality_ledger, op9_line_dedup, op10_ngram_jaccard)}
