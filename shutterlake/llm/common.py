@@ -174,6 +174,15 @@ def shingles(h: np.ndarray, offsets: np.ndarray, n: int = 5) -> tuple[np.ndarray
     return mix64(out), out_offsets
 
 
+def grams_of(h: np.ndarray, q: int) -> np.ndarray:
+    """Hashes of all windows of q hashes, across texts too."""
+    n = max(len(h) - q + 1, 0)
+    out = np.zeros(n, np.uint64)
+    for k in range(q):
+        out += h[k : k + n] * np.uint64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64))
+    return out
+
+
 def slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the texts of each part have about most_bytes at most, or are one text."""
     texts = batch.column(batch.schema.get_field_index(column))

@@ -24,14 +24,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import slices, text_buffer, words
+from shutterlake.llm.common import grams_of, slices, text_buffer, words
 
 MIN_WORDS, EDIT_SHARE, TARGET = 6, 0.2, 0.98
 SAMPLES, BLOCK_ITEMS = 4, 2000
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _STEP = np.uint64(0x9FB21C651E98DF25)
-_GRAM = [np.uint64(pow(0xC2B2AE3D27D4EB4F, k + 1, 1 << 64)) for k in range(64)]
 
 
 def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,14 +51,6 @@ def sure_run(n: int, share: float = EDIT_SHARE) -> int:
     return math.ceil((n - k) / (k + 1))
 
 
-def grams(h: np.ndarray, q: int) -> np.ndarray:
-    n = max(len(h) - q + 1, 0)
-    out = np.zeros(n, np.uint64)
-    for k in range(q):
-        out += h[k : k + n] * _GRAM[k]
-    return out
-
-
 def embed(h: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int, coins: np.ndarray, sampled: np.ndarray) -> np.ndarray:
     """Keys (repetitions x windows): the sampled coordinates of each window's CGK walk. A window has size words, or fewer where stop cuts it; beyond it the walk reads zero."""
     reps, steps = coins.shape
@@ -149,7 +140,7 @@ class Index:
         reach: dict[int, list[int]] = {}
         for i in group:
             k = edits_allowed(len(self.items[i]), self.share)
-            for at, g in enumerate(grams(self.items[i], self.q).tolist()):
+            for at, g in enumerate(grams_of(self.items[i], self.q).tolist()):
                 low, high = reach.get(g, (1 << 40, -1))
                 reach[g] = [min(low, at - k), max(high, at + k)]
         found.gram = np.array(sorted(reach), np.uint64)
@@ -188,7 +179,7 @@ class Index:
         h, offsets = plain_words(column)
         if len(h) < self.q:
             return
-        g = grams(h, self.q)
+        g = grams_of(h, self.q)
         hit = np.flatnonzero(self.bits[g >> np.uint64(43)])
         if not len(hit):
             return

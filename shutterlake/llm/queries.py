@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
+from shutterlake.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,24 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "kept", "fail_bits")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, learned from those whose id is not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    rest = F.coalesce(language_id.remainder(F.col("doc_id"), 4), F.lit(0))
+    prototypes = language_id.learn(docs.where(rest != 2))
+    marked = docs.select("doc_id", (rest == 2).alias("held_out"), "text")
+    return language_id.identify(marked, prototypes, ("doc_id", "held_out"))
+
+
+def op8_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document, learned from labels whose id is not held out."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    forest = quality_classifier.learn(docs, labels.where(language_id.remainder(F.col("doc_id"), 5) != 0).select("doc_id", F.col("quality").alias("label")))
+    held = F.coalesce(language_id.remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = quality_classifier.score(docs.select("doc_id", held.alias("held_out"), "text"), forest, ("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines before and after, and a hash of what is kept."""
     rows = line_dedup.deduplicate_lines(_table(spark, sf_dir, "documents"))
@@ -46,4 +64,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op4_decontaminate, op6_quality_ledger, op9_line_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_pack_binary, op4_decontaminate, op6_quality_ledger, op7_language_id, op8_quality_trees, op9_line_dedup, op10_ngram_jaccard)}
