@@ -10,12 +10,12 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import slices
@@ -27,14 +27,18 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template svg math canvas object xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("head nav header footer aside form button select dialog menu input label".split()) | RAW
+CORE = frozenset(["article", "main"])
+#: Elements that carry a text's own wording: inside the article they are text, however often a passage recurs.
+WORDING = frozenset("a abbr b blockquote br caption cite code dd dt em figcaption font h1 h2 h3 h4 h5 h6 i li mark p pre q s small span strong sub sup td th u".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
-ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|sidebar|side-bar|widget|related|recommend\w*|share|sharing|social|comment|comments|disqus|replies|breadcrumbs?|pagination|pager|navbar|navigation|menu|masthead|site-header|site-footer|footer|header|toolbar|login|signup|search)(?:$|[\s_-])", re.I)
+ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|sidebar|side-bar|widget|related|recommend\w*|share|sharing|social|comment|comments|disqus|replies|breadcrumbs?|pagination|pager|navbar|navigation|menu|masthead|site-header|page-header|site-footer|page-footer|footer|toolbar|login|signup|search)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*'|["'])*)>""", re.S)
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 SPACE = re.compile(r"[\s\x00-\x20]+")
 
-#: A subtree is template if it is on this many pages of its host, and on this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.2
+#: A subtree is template if it is on this many pages of its host, and on this share of them;
+#: inside the article only if it is no wording, on half of the pages, and less than half of the article.
+MIN_PAGES, MIN_SHARE, CORE_SHARE = 5, 0.2, 0.5
 
 
 @dataclass
@@ -42,8 +46,7 @@ class Node:
     tag: str
     never: bool
     parent: int
-    blocks: list[int] = field(default_factory=list)
-    hash: int = 0
+    core: bool = False
 
 
 @dataclass
@@ -79,21 +82,26 @@ def parse(source: str) -> Page:
             if nodes[stack[k]].tag in stop:
                 return
 
-    n = len(source)
+    n, last_end = len(source), source.rfind(">")
     while at < n:
-        m = TAG.search(source, at)
-        if m is None:
-            rest = source[at:]
-            cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the end of the page cuts
-            add(rest[: cut.start()] if cut else rest)
+        less = source.find("<", at)
+        if less < 0:
+            add(source[at:])
             break
-        if m.start() > at:
-            add(source[at : m.start()])
+        m = TAG.match(source, less) if less < last_end or source.startswith("<!--", less) else None
+        if m is None:
+            if less > last_end and re.match(r"<[a-zA-Z/!?]", source[less : less + 2]):  # a tag that the end of the page cuts
+                add(source[at:less])
+                break
+            add(source[at : less + 1])
+            at = less + 1
+            continue
+        add(source[at:less])
         at = m.end()
         if m[2] is None:
             continue
         tag = m[2].lower()
-        if tag in BLOCK or tag == "br" and False:
+        if tag in BLOCK:
             fresh = True
         if m[1]:
             if tag == "p" and not any(nodes[k].tag == "p" for k in stack):
@@ -116,12 +124,13 @@ def parse(source: str) -> Page:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
             at = n if end is None else source.find(">", end.start()) + 1 or n
             continue
-        attributes = m[3]
-        never = tag in NEVER
-        if not never and attributes and tag not in ("html", "body", "article", "main"):
+        attributes, above = m[3], nodes[stack[-1]]
+        never = tag in NEVER and not (tag == "header" and above.core)
+        if not never and attributes and tag not in ("html", "body") and (tag not in CORE or above.core):
             named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
             never = "hidden" in re.findall(r"[\w-]+", ATTRIBUTE.sub("", attributes).lower()) or named.get("aria-hidden", "") == "true" or named.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu") or bool(ROLE.search(f"{named.get('class', '')} {named.get('id', '')}"))
-        nodes.append(Node(tag, never or nodes[stack[-1]].never, stack[-1]))
+        never |= above.never
+        nodes.append(Node(tag, never, stack[-1], above.core or tag in CORE and not never))
         stack.append(len(nodes) - 1)
     return Page(nodes, texts, owners, starts)
 
@@ -146,14 +155,43 @@ def subtree_hashes(page: Page) -> np.ndarray:
     return out
 
 
-def text_of(page: Page, gone: np.ndarray) -> str:
-    """Blocks of text outside gone elements, decoded, white space folded, joined by an empty line."""
-    dead = np.zeros(len(page.nodes), bool)
-    for k, node in enumerate(page.nodes):
-        dead[k] = node.never or bool(gone[k]) or (node.parent >= 0 and dead[node.parent])
+def lengths(page: Page) -> np.ndarray:
+    """Code points of text below each element."""
+    out = np.zeros(len(page.nodes), np.int64)
+    for text, owner in zip(page.texts, page.owners, strict=True):
+        out[owner] += len(text)
+    for k in range(len(out) - 1, 0, -1):
+        out[page.nodes[k].parent] += out[k]
+    return out
+
+
+def text_of(page: Page, shares: dict[int, float]) -> str:
+    """Blocks of article text, decoded, white space folded, joined by an empty line.
+
+    shares: the share of the host's pages that hold a subtree, by its hash. If
+    the page has an article or main element with text, only their text counts,
+    and a recurring subtree goes under the conditions of CORE_SHARE. Elsewhere
+    one goes if it is less than half of the page, so that copies of a page keep
+    their text.
+    """
+    nodes = page.nodes
+    runs = list(zip(page.texts, page.owners, page.starts, strict=True))
+    core = any(nodes[o].core and not nodes[o].never and t.strip() for t, o, _ in runs)
+    dead = np.array([n.never or core and not n.core for n in nodes])
+    if shares:
+        size, top = lengths(page), np.zeros(len(nodes), np.int64)
+        for k, (node, h) in enumerate(zip(nodes, subtree_hashes(page).tolist(), strict=True)):
+            if core and node.core:
+                top[k] = top[node.parent] if nodes[node.parent].core else k
+            share = shares.get(h, 0.0) if h else 0.0
+            recurs = share >= CORE_SHARE and node.tag not in WORDING if core else share > 0
+            dead[k] |= recurs and 2 * size[k] < size[top[k]]
+    for k, node in enumerate(nodes):
+        if node.parent >= 0 and dead[node.parent] and not (core and node.core and not nodes[node.parent].core):
+            dead[k] = True
     blocks: list[list[str]] = []
     fresh = True
-    for text, owner, start in zip(page.texts, page.owners, page.starts, strict=True):
+    for text, owner, start in runs:
         fresh |= start
         if dead[owner]:
             continue
@@ -168,13 +206,46 @@ def text_of(page: Page, gone: np.ndarray) -> str:
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
-            found = [np.unique(h[h != 0]) for h in map(subtree_hashes, map(parse, part.column(2).to_pylist()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.list_(pa.int64()))], names=["host", "salt", "hashes"])
-
-
-def templates(pages: DataFrame, host: Column, source: Column, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host, hash of subtrees on min_pages pages of the host and min_share of them. Counted with map-side sums: a host with a third of all pages is no hot spot."""
-    rows = pages.select(host.alias("host"), F.lit(0).alias("salt"), source.alias("html")).mapInArrow(_hashes, "host string, salt int, hashes array<long>")
-    counts = rows.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = pages.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(sizes, "host").where(F.col("n") >= F.col("pages") * min_share).select("host", "hash")
+            found = [np.unique(h[h != 0]) for h in map(subtree_hashes, map(parse, part.column(1).to_pylist()))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
+
+
+def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """pages(host, html) -> host, hash, share of the subtrees on min_pages pages of a host and min_share of them.
+
+    Counted with sums that start on the map side: a host with a third of all
+    pages is no hot spot. A host has at most (subtrees of a page) / min_share such rows.
+    """
+    known = pages.where("host != ''")
+    counts = known.mapInArrow(_hashes, "host string, hashes array<long>").select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    sizes = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return counts.join(sizes, "host").withColumn("share", F.col("n") / F.col("pages")).where(F.col("share") >= min_share).select("host", "hash", "share")
+
+
+def _texts(carry: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "__html"):
+                texts = []
+                for source, hashes, shares in zip(*(part.column(carry + 1 + k).to_pylist() for k in range(3)), strict=True):
+                    texts.append(text_of(parse(source), dict(zip(hashes, shares, strict=True)) if hashes else {}))
+                names = part.schema.names[:carry]
+                yield pa.RecordBatch.from_arrays([*part.columns[:carry], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
+
+    return run
+
+
+def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """The carried columns of pages(url, html) with text and n_chars (long).
+
+    Null and empty html give an empty text. A page whose url has no host has no
+    template, only the elements that are never article text go. Repeated rows
+    are extracted each.
+    """
+    host, _ = split_url(F.col("url").cast("string"))
+    source = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(*carry, host.alias("__host"), source.alias("__html"))
+    found = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")), min_pages, min_share)
+    sets = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__hashes"), F.collect_list("share").alias("__shares"))
+    schema = rows.select(*carry).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
+    return rows.join(sets, "__host", "left").select(*carry, "__host", "__html", "__hashes", "__shares").mapInArrow(_texts(len(carry)), schema)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import decontaminate, language_id, line_dedup, ngram_join, packing, quality_classifier, quality_rules
+from shutterlake.llm import decontaminate, html_extract, language_id, line_dedup, ngram_join, packing, personal_data, quality_classifier, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,11 +21,39 @@ def op1_pack_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+#: The lists of allowed and blocked sites.
+URL_RULES = (
+    url_filter.Rule("block", "com/en/"),
+    url_filter.Rule("allow", "example.com/en/7"),
+    url_filter.Rule("allow", "net/de/"),
+    url_filter.Rule("block", "example.net/de/8"),
+    url_filter.Rule("block", "org/es/"),
+)
+
+
+def op2_url_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on each page's url."""
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of each page."""
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every passage of a document that is an item of the benchmark, give or take a fifth of its words."""
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and digest, and all spans, of each document."""
+    found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    digest = F.sha2(personal_data.written(F.col("base")).cast("binary"), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), personal_data.written(F.col("spans")).alias("spans"))
+
+
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements, failed rules as bits, and the verdict of policy corpus-1."""
     rows = quality_rules.ledger(_table(spark, sf_dir, "documents"))
@@ -64,4 +92,4 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op4_decontaminate, op6_quality_ledger, op7_language_id, op8_quality_trees, op9_line_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_pack_binary, op2_url_model, op3_html_extract, op4_decontaminate, op5_personal_data, op6_quality_ledger, op7_language_id, op8_quality_trees, op9_line_dedup, op10_ngram_jaccard)}
