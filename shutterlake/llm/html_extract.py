@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import slices
+from shutterlake.llm.common import Scratch, slices
 from shutterlake.llm.url_filter import split_url
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup,
@@ -39,6 +39,9 @@ SPACE = re.compile(r"[\s\x00-\x20]+")
 #: A subtree is template if it is on this many pages of its host, and on this share of them;
 #: inside the article only if it is no wording, on half of the pages, and less than half of the article.
 MIN_PAGES, MIN_SHARE, CORE_SHARE = 5, 0.2, 0.5
+#: Template hashes that are broadcast at most (about 16 bytes each); more are joined by host and one of SALTS,
+#: so that a host with a third of all pages spreads over SALTS tasks.
+BROADCAST_HASHES, SALTS = 1_000_000, 128
 
 
 @dataclass
@@ -235,7 +238,7 @@ def _texts(carry: int):
     return run
 
 
-def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """The carried columns of pages(url, html) with text and n_chars (long).
 
     Null and empty html give an empty text. A page whose url has no host has no
@@ -245,7 +248,14 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), min_p
     host, _ = split_url(F.col("url").cast("string"))
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(*carry, host.alias("__host"), source.alias("__html"))
-    found = templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")), min_pages, min_share)
+    scratch = Scratch(pages.sparkSession)
+    found = scratch.write(templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")), min_pages, min_share), "templates")
     sets = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__hashes"), F.collect_list("share").alias("__shares"))
+    if found.count() <= broadcast_hashes:
+        joined = rows.join(F.broadcast(sets), "__host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("__html"), F.lit(SALTS))
+        salted = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = rows.withColumn("__salt", salt).join(salted, ["__host", "__salt"], "left")
     schema = rows.select(*carry).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return rows.join(sets, "__host", "left").select(*carry, "__host", "__html", "__hashes", "__shares").mapInArrow(_texts(len(carry)), schema)
+    return joined.select(*carry, "__host", "__html", "__hashes", "__shares").mapInArrow(_texts(len(carry)), schema)

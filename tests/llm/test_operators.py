@@ -99,9 +99,10 @@ def test_html_removes_what_recurs_on_a_host(spark):
     rows = [(i, "http://s.example.com/", f"<body><div>Our offers today</div><div><p>Story {i} is long enough to be the text</p></div></body>") for i in range(10)]
     rows += [(10, None, "<body><div>Our offers today</div></body>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_extract.extract(df).collect()}
-    assert all(got[i] == f"Story {i} is long enough to be the text" for i in range(10))
-    assert got[10] == "Our offers today"
+    for most in (html_extract.BROADCAST_HASHES, 0):
+        got = {r.page_id: r.text for r in html_extract.extract(df, broadcast_hashes=most).collect()}
+        assert all(got[i] == f"Story {i} is long enough to be the text" for i in range(10))
+        assert got[10] == "Our offers today"
 
 
 # --- decontamination ----------------------------------------------------------
