@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import Scratch
 
 
+def contract(stars: DataFrame) -> DataFrame:
+    """stars(a, b), where each a has few b -> edges with the same components, about one for each a.
+
+    All b of one a belong together, so (a, least b) and, once for all a that
+    agree, (b, least b) say the same. Equal edges meet on the map side.
+    """
+    near = stars.where(F.col("a") != F.col("b")).groupBy("a").agg(F.array_sort(F.collect_set("b")).alias("all"))
+    least = F.get("all", F.lit(0))
+    own = near.select("a", least.alias("b"))
+    rest = near.where(F.size("all") > 1).select(F.explode(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0)))).alias("a"), least.alias("b")).distinct()
+    return own.unionByName(rest)
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, most_rounds: int = 60) -> DataFrame:
     """edges(a, b) -> node, label: the smallest node of the component. Loops and null ends are ignored.
 

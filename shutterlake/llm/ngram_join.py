@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shutterlake.llm.common import Scratch, mix64, shingles, slices, text_buffer, words
-from shutterlake.llm.components import connected_components
+from shutterlake.llm.components import connected_components, contract
 
 TREES, DEPTH, TARGET = 32, 8, 0.999
 BLOCK = 512
@@ -229,7 +229,8 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, target: float = TARGE
     scratch.drop(labels)
     ends = runs.where(F.col("b").isNull()).select("tree", "prefix", "a").distinct()
     across = ends.join(ends.groupBy("tree", "prefix").agg(F.min("a").alias("b")), ["tree", "prefix"]).select("a", "b")
-    near = connected_components(runs.where(F.col("b").isNotNull()).select("a", "b").unionByName(across), scratch)
+    # A class stands in at most one run of each tree, so it has few stars.
+    near = connected_components(contract(runs.where(F.col("b").isNotNull()).select("a", "b").unionByName(across)), scratch)
 
     near = near.select(F.col("node").alias("ck"), F.col("label").alias("comp"))
     sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
