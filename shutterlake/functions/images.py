@@ -9,17 +9,54 @@ from pyspark.sql import functions as F
 
 
 def exposure_lut(ev: float) -> np.ndarray:
-    """256 output levels for a gain of 2^ev; gains above one roll off smoothly to white."""
-    x = np.arange(256) / 255
-    y = x * 2.0**ev
-    if ev > 0:
-        y = np.where(y > 0.8, 0.8 + 0.2 * (1 - np.exp(-(y - 0.8) / 0.2)), y)
-    return np.clip(np.round(y * 255), 0, 255).astype(np.uint8)
+    """256 output levels for a gain of 2^ev; a gain above one saturates exponentially towards white. Single precision, cut to whole levels."""
+    level, gain = np.arange(256, dtype=np.float32), 2.0**ev
+    y = 255 * (1 - np.exp(-level * (gain / 255))) / max(0.01, 1 - float(np.exp(-gain))) if gain > 1 else level * gain
+    return np.clip(y, 0, 255).astype(np.uint8)
+
+
+#: Fixed values of the tone curve, for each control: the level at which its ramp is 0, that at which it is 1,
+#: the ramp's power, and the levels moved by one unit of the control.
+TONE = {"shadows": (100, 0, 1.8, 0.32), "highlights": (128, 255, 1.35, 0.42), "whites": (175, 255, 1.0, 0.28), "blacks": (60, 0, 1.0, 0.22)}
+
+
+def tone_lut(contrast: float = 0.0, **controls: float) -> np.ndarray:
+    """256 output levels of the tone controls of TONE, then contrast about level 128.
+
+    Each control moves the levels of its ramp as the earlier ones left them;
+    shadows leave the lowest eight levels mostly alone. A control within 0.1 of zero is off.
+    """
+    y = np.arange(256, dtype=np.float32)
+    for name, (low, high, power, step) in TONE.items():
+        amount = controls.get(name, 0.0)
+        if abs(amount) > 0.1:
+            ramp = np.clip((y - low) / (high - low), 0, 1) ** power
+            y = y + ramp * (np.clip(y / 8, 0, 1) if name == "shadows" else 1) * amount * step
+    if abs(contrast) > 0.1:
+        y = 128 + (y - 128) * (100 + contrast) / 100
+    return np.clip(y, 0, 255).astype(np.uint8)
+
+
+def blend_weights(size: int, overlap: int, first: bool = False, last: bool = False) -> np.ndarray:
+    """Weights along one side of a tile: half a cosine over the overlap at each end, 1 at the ends of the image."""
+    w = np.ones(size, np.float32)
+    n = min(overlap, size)
+    ramp = 0.5 - 0.5 * np.cos(np.pi * np.arange(n) / max(overlap, 1))
+    if n and not first:
+        w[:n] = ramp
+    if n and not last:
+        w[size - n :] = ramp[::-1]
+    return w
 
 
 def with_exposure(pixels: Column, ev: float) -> Column:
     """8-bit pixels brightened or darkened by ev stops. Null stays null."""
-    table = exposure_lut(ev).tobytes()
+    return with_levels(pixels, exposure_lut(ev))
+
+
+def with_levels(pixels: Column, lut: np.ndarray) -> Column:
+    """8-bit pixels through a table of 256 levels. Null stays null."""
+    table = lut.tobytes()
 
     @F.pandas_udf("binary")
     def apply(images: pd.Series) -> pd.Series:

@@ -147,13 +147,13 @@ def semi_update(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.semi_update(photos(spark, sf_dir), bridge(spark, sf_dir).where("choice = 'SELECTED'"), "photo_id", "client_selection", "SELECTED").select("photo_id", "client_selection")
 
 
-@query("""WITH CATALOG, pick AS (SELECT group_id, min(photo_id) AS pick FROM photos WHERE photo_id % 100 = 7 GROUP BY group_id)
+@query("""WITH CATALOG, pick AS (SELECT group_id, min(photo_id) AS pick FROM photos WHERE star_rating = 5 GROUP BY group_id)
 SELECT photo_id, CASE WHEN photo_id = pick THEN 'BEST' WHEN pick IS NOT NULL AND eff = 'BEST' THEN 'UNRATED' ELSE user_selection END AS user_selection,
   CASE WHEN photo_id <> pick AND eff = 'BEST' THEN 'SIMILAR' ELSE ai_recommendation END AS ai_recommendation FROM photos LEFT JOIN pick USING (group_id)""")
 def promote_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The user promotes every photo whose number ends in 07."""
+    """The user promotes every photo with five stars."""
     p = photos(spark, sf_dir)
-    return selection.promote(p, p.where("photo_id % 100 = 7").select("group_id", "photo_id")).select("photo_id", "user_selection", "ai_recommendation")
+    return selection.promote(p, p.where("star_rating = 5").select("group_id", "photo_id")).select("photo_id", "user_selection", "ai_recommendation")
 
 
 @query("""WITH CATALOG, t AS (SELECT *, first_value(photo_id) OVER (PARTITION BY group_id ORDER BY ai_score DESC, photo_id) AS top FROM photos)

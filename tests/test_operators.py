@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import columns as C
 from shutterlake.functions import images
-from shutterlake.operators import robust, rules, selection, sequences
+from shutterlake.operators import faces, mutations, robust, rules, selection, sequences
 from shutterlake.sources import tables
 from shutterlake.streaming import limits
 
@@ -164,4 +164,73 @@ def test_pixels(spark):
     assert [r[0] for r in df.select(images.difference_hash(F.col("g"))).collect()] == [-1, None]
     assert bytes(df.select(images.with_exposure(F.col("g"), 0.0)).first()[0]) == grey
     lut = images.exposure_lut(1.0)
-    assert (np.diff(lut.astype(int)) >= 0).all() and lut[10] == 20
+    assert (np.diff(lut.astype(int)) >= 0).all() and (lut[0], lut[10], lut[255]) == (0, 22, 255)  # 255 (1 - e^(-20/255)) / (1 - e^-2) = 22.2
+
+
+def test_tone_and_blend_tables():
+    assert images.tone_lut().tolist() == list(range(256))
+    assert images.exposure_lut(-1.0)[[0, 101, 255]].tolist() == [0, 50, 127]
+    up = images.tone_lut(shadows=50.0)
+    assert up[0] == 0 and up[50] == 54 and up[100] == 100  # 50 + 0.5 ** 1.8 * 16
+    assert images.tone_lut(blacks=-40.0)[[0, 30, 60]].tolist() == [0, 25, 60]  # 30 - 0.5 * 8.8
+    assert images.tone_lut(contrast=10.0)[[0, 128, 228]].tolist() == [0, 128, 238]
+    left, right = images.blend_weights(64, 16, first=True), images.blend_weights(64, 16, last=True)
+    assert left[:48].tolist() == [1.0] * 48 and right[16:].tolist() == [1.0] * 48
+    assert (left >= 0).all() and (left <= 1).all() and left[-1] == 0 == right[0]
+
+
+def test_import_known_by_path_or_name(spark):
+    old = spark.createDataFrame([(1, 10, "a.jpg", "/x/a.jpg", 5), (1, 11, "b.jpg", "/x/b.jpg", 6), (2, 12, "a.jpg", "/y/a.jpg", 7)], "project long, id long, filename string, path string, size long")
+    new = spark.createDataFrame([(1, "a.jpg", "/moved/a.jpg", 50), (1, "new.jpg", "/x/new.jpg", 1), (1, "new.jpg", "/z/new.jpg", 2), (None, "a.jpg", "/x/a.jpg", 9)], "project long, filename string, path string, size long")
+    got = sorted([tuple(r) for r in mutations.import_photos(old, new).collect()], key=repr)
+    assert got == sorted([(1, 10, "a.jpg", "/moved/a.jpg", 50), (1, 11, "b.jpg", "/x/b.jpg", 6), (2, 12, "a.jpg", "/y/a.jpg", 7), (1, None, "new.jpg", "/z/new.jpg", 2), (None, None, "a.jpg", "/x/a.jpg", 9)], key=repr)
+
+
+def test_pull_passes_over_bad_keys_and_unknown_choices(spark):
+    entries = spark.createDataFrame([("g", 1, 7, "UNRATED", "old"), ("g", 2, None, "SELECTED", "old"), ("h", 1, None, "REJECTED", "old")], "gallery string, photo_id long, remote_id long, selection string, note string")
+    items = spark.createDataFrame([("g", "7", "selected", None), ("g", "1", "rejected", "lost"), ("g", "2", "perhaps", "n"), ("h", "x", "SELECTED", "n")], "gallery string, key string, status string, note string")
+    got = {(r.gallery, r.photo_id): (r.selection, r.note) for r in mutations.pull_selections(entries, items).collect()}
+    assert got == {("g", 1): ("SELECTED", ""), ("g", 2): ("UNRATED", "n"), ("h", 1): ("REJECTED", "old")}
+
+
+def test_payments_told_twice_count_once(spark):
+    orders = spark.createDataFrame([(1, "CREATED", 5, 100.05, "C"), (2, "PAID", 5, 100.0, "C"), (3, "CREATED", 5, 0.0, "C"), (4, "CREATED", None, 10.0, "")], "order_id long, status string, agent long, amount double, coupon string")
+    paid = mutations.newly_paid(orders, spark.createDataFrame([(1,), (1,), (2,), (3,), (4,)], "order_id long"))
+    assert sorted(r.order_id for r in paid.collect()) == [1, 3, 4]
+    rows = mutations.commission_rows(paid, spark.createDataFrame([(5, 10.0)], "agent long, rate double")).collect()
+    assert [(r.order_id, r.earned) for r in rows] == [(1, 10.01)]
+    used = mutations.coupon_use(spark.createDataFrame([("C", 4), ("D", 0)], "coupon string, used long"), paid)
+    assert {r.coupon: r.used for r in used.collect()} == {"C": 6, "D": 0}
+
+
+def test_seats_go_to_the_first_machines(spark):
+    asks = spark.createDataFrame([("L", "a", 1, 1), ("L", "b", 2, 2), ("L", "a", 3, 3), ("L", "c", 4, 4), ("M", "a", 1, 5)], "license string, machine string, at long, id long")
+    seats = spark.createDataFrame([("L", 2)], "license string, max_devices int")
+    assert {r.id: r.ok for r in mutations.activate(asks, seats).collect()} == {1: True, 2: True, 3: True, 4: False, 5: False}
+
+
+def test_manifest_numbers_all_and_lists_the_copied(spark):
+    rows = spark.createDataFrame([("g", 3, "c.jpg", "crop", True), ("g", 1, "a.jpg", None, True), ("g", 2, "b.jpg", "", False)], "g string, photo_id long, filename string, note string, copied boolean")
+    assert sorted(r.line for r in mutations.manifest(rows, "g").collect()) == ["[001] a.jpg", "[003] c.jpg | Note: crop"]
+
+
+def test_small_faces_do_not_count(spark):
+    rows = [(1, 1, 100.0, 40.0, 90.0, 0, False, False), (1, 2, 24.0, 99.0, 10.0, 0, False, False), (1, 3, 25.0, 50.0, 80.0, 1, False, False), (2, 1, 10.0, 30.0, 0.0, 0, True, False), (3, 1, 10.0, 30.0, 0.0, 0, False, False), (4, 1, 10.0, 30.0, 5.0, 3, False, False)]
+    df = spark.createDataFrame(rows, "photo long, at long, area double, sharpness double, luma double, eyes int, smile boolean, large boolean")
+    got = {r.photo: (r.faces, r.sharpness, r.luma, r.eyes, r.confidence) for r in faces.face_metrics(df).collect()}
+    assert got == {1: (3, 50.0, 80.0, "PARTIAL", 0.80), 2: (1, 30.0, 0.0, "OPEN", 0.85), 3: (1, 30.0, 0.0, "CLOSED", 0.82), 4: (1, 30.0, 5.0, "OPEN", 0.92)}
+
+
+def test_face_matches_equal_a_greedy_loop(spark):
+    rng = np.random.default_rng(5)
+    point = lambda n: [(p, int(k), float(x), float(y)) for p in range(30) for k, (x, y) in enumerate(rng.random((int(rng.integers(0, n)), 2)).round(2) / 2)]
+    targets, donors = point(7), point(7)
+    kind = "pair long, at long, x double, y double"
+    got = sorted((r.pair, r.target, r.donor) for r in faces.match_faces(spark.createDataFrame(targets, kind), spark.createDataFrame(donors, kind)).collect())
+    want, taken = [], set()
+    for p, k, x, y in targets:
+        near = min(((np.hypot(x - u, y - v), j) for q, j, u, v in donors if q == p and (p, j) not in taken), default=(9, 0))
+        if near[0] < 0.12:
+            taken.add((p, near[1]))
+            want.append((p, k, near[1]))
+    assert got == sorted(want) and len(want) > 20
