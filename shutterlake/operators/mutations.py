@@ -111,3 +111,9 @@ def manifest(photos: DataFrame, *keys: str) -> DataFrame:
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("photo_id"))
     note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(" | Note: "), "note")).otherwise("")
     return photos.withColumn("__n", number).where("copied").select(*keys, F.format_string("[%03d] %s%s", F.col("__n"), F.col("filename"), note).alias("line"))
+
+
+def retire_albums(albums: DataFrame, now: Column, days: int = 7) -> DataFrame:
+    """albums(status, submitted_at, expired_at, ...), times in seconds: those submitted `days` ago or earlier and not yet expired expire now. Null times never do."""
+    due = (F.col("status") == "SUBMITTED") & F.col("expired_at").isNull() & (F.col("submitted_at") <= now - days * 86400)
+    return albums.withColumn("expired_at", F.when(due, now).otherwise(F.col("expired_at")))

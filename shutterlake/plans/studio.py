@@ -154,3 +154,19 @@ def face_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = _rows(spark, sf_dir, "lineitem", {"pair": "l_orderkey", "at": "cast(l_linenumber as bigint)", "x": "l_quantity / 50", "y": "l_discount * 10", "dx": "l_tax"})
     donors = points.select("pair", (F.col("at") + 100).alias("at"), (F.col("x") + F.col("dx")).alias("x"), "y")
     return faces.match_faces(points.drop("dx"), donors)
+
+
+_SUBMITTED = {"gallery": "o_orderkey", "status": "case o_orderstatus when 'F' then 'SUBMITTED' else 'SELECTING' end", "submitted_at": "case when o_orderkey % 4 > 0 then o_custkey * 1000 end", "expired_at": "case when o_orderkey % 6 = 0 then o_orderkey end"}
+
+
+@query(f"SELECT gallery, status, submitted_at, CASE WHEN status = 'SUBMITTED' AND expired_at IS NULL AND submitted_at <= 700000 - 7 * 86400 THEN 700000 ELSE expired_at END AS expired_at FROM ({_view(_SUBMITTED, 'orders')})")
+def album_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Albums whose previews are cleaned a week after they were submitted."""
+    return mutations.retire_albums(_rows(spark, sf_dir, "orders", _SUBMITTED), F.lit(700000).cast("long"))
+
+
+@query(f"""WITH d AS (SELECT user_id % 20 AS license, count(DISTINCT user_id) AS seen FROM events WHERE event_type <> 'signup' GROUP BY 1) SELECT license, max_devices, coalesce(seen, 0) AS active FROM ({_view(_SEATS, 'nation')}) LEFT JOIN d USING (license)""")
+def active_devices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences with their active computers, counted before the join."""
+    active = table(spark, sf_dir, "events", "user_id", "event_type").where("event_type <> 'signup'").groupBy((F.col("user_id") % 20).alias("license")).agg(F.countDistinct("user_id").alias("seen"))
+    return _rows(spark, sf_dir, "nation", _SEATS).join(active, "license", "left").select("license", "max_devices", F.coalesce("seen", F.lit(0).cast("long")).alias("active"))

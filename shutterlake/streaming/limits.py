@@ -38,3 +38,8 @@ def selections_stream(changes: DataFrame, keep: str = "7 days") -> DataFrame:
     """changes(photo_id, status, at timestamp), a stream -> the latest status of each photo and the day of its change; later than `keep` is dropped."""
     latest = F.max_by("status", "at").alias("status")
     return changes.withWatermark("at", keep).groupBy("photo_id", F.window("at", "1 day").alias("day")).agg(latest, F.max("at").alias("at")).select("photo_id", F.col("day.start").alias("day"), "status", "at")
+
+
+def payments_stream(payments: DataFrame, keep: str = "7 days") -> DataFrame:
+    """payments(order_id, at timestamp, ...), a stream -> each order's first notice; notices repeated within `keep` are dropped, so fulfilment runs once."""
+    return payments.withWatermark("at", keep).dropDuplicatesWithinWatermark(["order_id"])

@@ -234,3 +234,19 @@ def test_face_matches_equal_a_greedy_loop(spark):
             taken.add((p, near[1]))
             want.append((p, k, near[1]))
     assert got == sorted(want) and len(want) > 20
+
+
+def test_payment_notices_pass_once(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10), (1, 11), (2, 12), (1, 90)], "order_id long, s long").select("order_id", F.timestamp_seconds("s").alias("at"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = limits.payments_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")))
+    q = stream.writeStream.format("memory").queryName("paid").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.order_id for r in spark.table("paid").collect()) == [1, 2]
+
+
+def test_albums_expire_once_and_only_when_due(spark):
+    day = 86400
+    rows = [("a", "SUBMITTED", 1 * day, None), ("b", "SUBMITTED", 1 * day + 1, None), ("c", "SELECTING", 0, None), ("d", "SUBMITTED", 0, 5), ("e", "SUBMITTED", None, None)]
+    df = spark.createDataFrame(rows, "gallery string, status string, submitted_at long, expired_at long")
+    assert {r.gallery: r.expired_at for r in mutations.retire_albums(df, F.lit(8 * day)).collect()} == {"a": 8 * day, "b": None, "c": None, "d": 5, "e": None}
