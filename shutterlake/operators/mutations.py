@@ -27,6 +27,18 @@ def import_photos(photos: DataFrame, files: DataFrame) -> DataFrame:
     return kept.unionByName(new.select("project", F.lit(None).cast(photos.schema["id"].dataType).alias("id"), "filename", "__f.path", "__f.size"))
 
 
+def upsert_projects(projects: DataFrame, scans: DataFrame) -> DataFrame:
+    """projects(id, name, folder) after scans(name, folder): the project with the least id among those of a folder, whatever its case, takes the scan's name and spelling; other folders become projects with a null id.
+
+    Of several scans of a folder the greatest (folder, name) stays. Null folders match nothing.
+    """
+    last = scans.groupBy(F.lower("folder").alias("__k")).agg(F.max(F.struct("folder", "name")).alias("__s"))
+    first = projects.groupBy(F.lower("folder").alias("__k")).agg(F.min("id").alias("__id"))
+    met = last.join(first, "__k", "left")
+    kept = projects.join(met.where("__id is not null").select(F.col("__id").alias("id"), "__s"), "id", "left").select("id", F.coalesce("__s.name", "name").alias("name"), F.coalesce("__s.folder", "folder").alias("folder"))
+    return kept.unionByName(met.where("__id is null").select(F.lit(None).cast(projects.schema["id"].dataType).alias("id"), "__s.name", "__s.folder"))
+
+
 def pull_selections(entries: DataFrame, items: DataFrame) -> DataFrame:
     """entries(gallery, photo_id, remote_id, selection, note) with the choices of items(gallery, key, status, note).
 

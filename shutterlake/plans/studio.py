@@ -28,6 +28,17 @@ def import_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mutations.import_photos(_rows(spark, sf_dir, "orders", _OLD), _rows(spark, sf_dir, "events", _FILES))
 
 
+_PROJECTS = {"id": "c_custkey", "name": "c_name", "folder": "concat('/Shoots/', c_mktsegment, '/', c_custkey % 600)"}
+_SCANS = {"name": "s_name", "folder": "concat('/shoots/Building/', s_suppkey)"}
+
+
+@query(f"""WITH p AS ({_view(_PROJECTS, 'customer')}), l AS (SELECT lower(folder) AS k, max({{'f': folder, 'n': name}}) AS s FROM ({_view(_SCANS, 'supplier')}) GROUP BY 1), m AS (SELECT k, s, (SELECT min(id) FROM p WHERE lower(folder) = k) AS id FROM l)
+SELECT p.id, coalesce(s.n, name) AS name, coalesce(s.f, folder) AS folder FROM p LEFT JOIN m ON m.id = p.id UNION ALL SELECT NULL, s.n, s.f FROM m WHERE id IS NULL""")
+def upsert_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects after folders were scanned that are partly known in another case."""
+    return mutations.upsert_projects(_rows(spark, sf_dir, "customer", _PROJECTS), _rows(spark, sf_dir, "supplier", _SCANS))
+
+
 _ENTRIES = {"gallery": "l_suppkey", "photo_id": "l_orderkey", "remote_id": "case when l_orderkey % 3 = 0 then l_orderkey + 1 end", "selection": "case l_returnflag when 'A' then 'SELECTED' else 'UNRATED' end", "note": "l_linestatus"}
 _ITEMS = {"gallery": "l_suppkey", "key": "case when l_partkey % 7 = 0 then 'none' else cast(l_orderkey as string) end", "status": "case l_linestatus when 'O' then 'selected' when 'F' then 'rejected' else 'maybe' end", "note": "case when l_partkey % 5 = 0 then null else l_returnflag end"}
 _PULL = f"""e AS ({_view(_ENTRIES, 'lineitem')}), i AS (SELECT gallery, try_cast(key AS BIGINT) AS key, CASE WHEN upper(status) IN ('SELECTED', 'REJECTED') THEN upper(status) ELSE 'UNRATED' END AS s, coalesce(note, '') AS n FROM ({_view(_ITEMS, 'lineitem')})),

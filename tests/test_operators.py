@@ -250,3 +250,10 @@ def test_albums_expire_once_and_only_when_due(spark):
     rows = [("a", "SUBMITTED", 1 * day, None), ("b", "SUBMITTED", 1 * day + 1, None), ("c", "SELECTING", 0, None), ("d", "SUBMITTED", 0, 5), ("e", "SUBMITTED", None, None)]
     df = spark.createDataFrame(rows, "gallery string, status string, submitted_at long, expired_at long")
     assert {r.gallery: r.expired_at for r in mutations.retire_albums(df, F.lit(8 * day)).collect()} == {"a": 8 * day, "b": None, "c": None, "d": 5, "e": None}
+
+
+def test_projects_meet_their_folder_in_any_case(spark):
+    old = spark.createDataFrame([(1, "one", "/A/x"), (2, "two", "/a/X"), (3, "three", "/b")], "id long, name string, folder string")
+    new = spark.createDataFrame([("uno", "/a/x"), ("four", "/c")], "name string, folder string")
+    got = sorted([tuple(r) for r in mutations.upsert_projects(old, new).collect()], key=repr)
+    assert got == sorted([(1, "uno", "/a/x"), (2, "two", "/a/X"), (3, "three", "/b"), (None, "four", "/c")], key=repr)
