@@ -2,7 +2,8 @@
 
 Pages are cut into element subtrees; the subtrees' hashes are counted per host,
 and those that recur across many pages of the host are deleted together with
-elements whose role is never article text.
+elements whose role is never article text. Pages that are copies of others do
+not count: what they share is their text, not their site's template.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import Scratch, slices
+from shutterlake.llm.common import Scratch, mix64, shingles, slices, text_buffer, words
 from shutterlake.llm.url_filter import split_url
 
 #: Fixed values of HTML: elements without content, elements whose content is no markup,
@@ -28,20 +29,26 @@ RAW = frozenset("script style textarea title noscript iframe template svg math c
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 NEVER = frozenset("head nav header footer aside form button select dialog menu input label".split()) | RAW
 CORE = frozenset(["article", "main"])
-#: Elements that carry a text's own wording: inside the article they are text, however often a passage recurs.
+#: Elements that carry a text's own wording: inside the article they are text, however often a passage recurs,
+#: but for those of APART where they stand as blocks of their own.
 WORDING = frozenset("a abbr b blockquote br caption cite code dd dt em figcaption font h1 h2 h3 h4 h5 h6 i li mark p pre q s small span strong sub sup td th u".split())
+APART = frozenset("p li span".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|sidebar|side-bar|widget|related|recommend\w*|share|sharing|social|comment|comments|disqus|replies|breadcrumbs?|pagination|pager|navbar|navigation|menu|masthead|site-header|page-header|site-footer|page-footer|footer|toolbar|login|signup|search)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 SPACE = re.compile(r"[\s\x00-\x20]+")
 
-#: A subtree is template if it is on this many pages of its host, and on this share of them;
-#: inside the article only if it is no wording, on half of the pages, and less than half of the article.
-MIN_PAGES, MIN_SHARE, CORE_SHARE = 5, 0.2, 0.5
-#: Template hashes that are broadcast at most (about 16 bytes each); more are joined by host and one of SALTS,
-#: so that a host with a third of all pages spreads over SALTS tasks.
-BROADCAST_HASHES, SALTS = 1_000_000, 128
+#: A subtree is template if it is on this many pages of its host that are no copies, or on as many pages and this
+#: share of all. Inside the article it takes CORE_PAGES or CORE_SHARE, for APART CORE_PAGES, and it must be less than half of the article.
+MIN_PAGES, CORE_PAGES, MIN_SHARE, CORE_SHARE = 5, 10, 0.2, 0.5
+#: A page is no copy if this share of its GRAMS sampled runs of five words are in the sample of no other text of its host.
+OWN_SHARE, GRAMS = 1 / 3, 32
+#: What a template may delete: subtrees outside the article, inside it, and those of APART inside it.
+OUTSIDE, INSIDE, WORDS = 1, 2, 4
+#: Template hashes that go to all tasks at most (9 bytes each); more are joined by host and hash, those on
+#: HOT_PAGES pages or more by broadcast, so that no key has more rows than that.
+BROADCAST_HASHES, HOT_PAGES = 1_000_000, 10_000
 
 
 @dataclass
@@ -168,26 +175,43 @@ def lengths(page: Page) -> np.ndarray:
     return out
 
 
-def text_of(page: Page, shares: dict[int, float]) -> str:
+def blocks_of_their_own(page: Page) -> np.ndarray:
+    """Whether the text below each element makes whole blocks: it starts one, and the text behind it starts another."""
+    n = len(page.texts)
+    first, last = np.full(len(page.nodes), n), np.full(len(page.nodes), -1)
+    for r, owner in enumerate(page.owners):
+        first[owner], last[owner] = min(first[owner], r), r
+    for k in range(len(first) - 1, 0, -1):
+        parent = page.nodes[k].parent
+        first[parent], last[parent] = min(first[parent], first[k]), max(last[parent], last[k])
+    starts = np.array([*page.starts, True])
+    return starts[first] & starts[last + 1]
+
+
+def text_of(page: Page, marks: dict[int, int]) -> str:
     """Blocks of article text, decoded, white space folded, joined by an empty line.
 
-    shares: the share of the host's pages that hold a subtree, by its hash. If
-    the page has an article or main element with text, only their text counts,
-    and a recurring subtree goes under the conditions of CORE_SHARE. Elsewhere
-    one goes if it is less than half of the page, so that copies of a page keep
-    their text.
+    marks: what the host's templates may delete (OUTSIDE, INSIDE, WORDS), by
+    subtree hash. If the page has an article or main element with text, only
+    their text counts, and a template goes if it is less than half of the
+    article; elsewhere if it is less than half of the page.
     """
     nodes = page.nodes
     runs = list(zip(page.texts, page.owners, page.starts, strict=True))
     core = any(nodes[o].core and not nodes[o].never and t.strip() for t, o, _ in runs)
     dead = np.array([n.never or core and not n.core for n in nodes])
-    if shares:
-        size, top = lengths(page), np.zeros(len(nodes), np.int64)
+    if marks:
+        size, top, apart = lengths(page), np.zeros(len(nodes), np.int64), blocks_of_their_own(page)
         for k, (node, h) in enumerate(zip(nodes, subtree_hashes(page).tolist(), strict=True)):
             if core and node.core:
                 top[k] = top[node.parent] if nodes[node.parent].core else k
-            share = shares.get(h, 0.0) if h else 0.0
-            recurs = share >= CORE_SHARE and node.tag not in WORDING if core else share > 0
+            if not core:
+                bit = OUTSIDE
+            elif node.tag in APART:
+                bit = WORDS if apart[k] else 0
+            else:
+                bit = 0 if node.tag in WORDING else INSIDE
+            recurs = bool(h) and bool(marks.get(h, 0) & bit)
             dead[k] |= recurs and 2 * size[k] < size[top[k]]
     for k, node in enumerate(nodes):
         if node.parent >= 0 and dead[node.parent] and not (core and node.core and not nodes[node.parent].core):
@@ -206,32 +230,69 @@ def text_of(page: Page, shares: dict[int, float]) -> str:
     return "\n\n".join(b for b in joined if b)
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, html -> host, the text's hash, the least GRAMS hashes of its runs of five words, and the subtrees' hashes."""
+    longs = pa.list_(pa.int64())
     for batch in batches:
         for part in slices(batch, "html"):
-            found = [np.unique(h[h != 0]) for h in map(subtree_hashes, map(parse, part.column(1).to_pylist()))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64()))], names=["host", "hashes"])
+            pages = list(map(parse, part.column(1).to_pylist()))
+            texts = [text_of(p, {}) for p in pages]
+            h, _, _, offsets = words(*text_buffer(pa.array(texts, pa.string())))
+            s, at = shingles(h, offsets)
+            grams = [np.unique(s[a:b])[:GRAMS].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            found = [np.unique(x[x != 0]) for x in map(subtree_hashes, pages)]
+            keys = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(grams, longs), pa.array(found, longs)], names=["host", "key", "grams", "hashes"])
+
+
+def templates(sketches: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """host, key, grams, hashes of each page -> host, hash, mark, pages of the templates.
+
+    Pages with one text count once, and pages that share most of their words
+    with another text not at all. All counts are sums that start on the map
+    side: a host with a third of all pages is no hot spot.
+    """
+    texts = sketches.groupBy("host", "key").agg(F.first(F.struct("grams", "hashes")).alias("t")).select("host", "key", "t.*")
+    grams = texts.select("host", "key", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    # A run of words that one text alone has leads back to that text by its least key.
+    own = grams.groupBy("host", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min("size").alias("size")).where("n = 1")
+    single = own.groupBy("host", "key").agg(F.count(F.lit(1)).alias("own"), F.min("size").alias("size")).where(F.col("own") >= OWN_SHARE * F.col("size"))
+    votes = texts.join(single.select("host", "key"), ["host", "key"]).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    everywhere = F.when(F.col("n") >= max(min_pages, CORE_PAGES), OUTSIDE | INSIDE | WORDS).otherwise(OUTSIDE)
+    counts = sketches.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
+    sizes = sketches.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    shares = counts.join(sizes, "host").withColumn("share", F.col("n") / F.col("pages"))
+    marked = shares.select("host", "hash", F.when(F.col("share") >= max(min_share, CORE_SHARE), OUTSIDE | INSIDE).when(F.col("share") >= min_share, OUTSIDE).otherwise(0).alias("mark"), "n")
+    both = marked.unionByName(votes.select("host", "hash", everywhere.alias("mark"), "n"))
+    return both.groupBy("host", "hash").agg(F.bit_or("mark").cast("int").alias("mark"), F.max("n").alias("pages")).where("mark > 0")
 
 
-def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """pages(host, html) -> host, hash, share of the subtrees on min_pages pages of a host and min_share of them.
+def _host_key(host: str) -> int:
+    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"))
 
-    Counted with sums that start on the map side: a host with a third of all
-    pages is no hot spot. A host has at most (subtrees of a page) / min_share such rows.
-    """
-    known = pages.where("host != ''")
-    counts = known.mapInArrow(_hashes, "host string, hashes array<long>").select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    sizes = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(sizes, "host").withColumn("share", F.col("n") / F.col("pages")).where(F.col("share") >= min_share).select("host", "hash", "share")
 
+def _texts(carry: int, known: tuple[np.ndarray, np.ndarray] | None):
+    """known: sorted keys of host and subtree, and their marks; without it each row brings the hashes and marks of its templates."""
 
-def _texts(carry: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__html"):
                 texts = []
-                for source, hashes, shares in zip(*(part.column(carry + 1 + k).to_pylist() for k in range(3)), strict=True):
-                    texts.append(text_of(parse(source), dict(zip(hashes, shares, strict=True)) if hashes else {}))
+                pages = map(parse, part.column(carry + 1).to_pylist())
+                if known is None:
+                    for page, hashes, marks in zip(pages, part.column(carry + 2).to_pylist(), part.column(carry + 3).to_pylist(), strict=True):
+                        texts.append(text_of(page, dict(zip(hashes, marks, strict=True)) if hashes else {}))
+                else:
+                    keys, every = known
+                    for page, host in zip(pages, part.column(carry).to_pylist(), strict=True):
+                        marks = {}
+                        if host and len(keys):
+                            h = subtree_hashes(page)
+                            mine = mix64(h.view(np.uint64) ^ np.uint64(_host_key(host)))
+                            place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                            hit = np.flatnonzero((keys[place] == mine) & (h != 0))
+                            marks = dict(zip(h[hit].tolist(), every[place[hit]].tolist(), strict=True))
+                        texts.append(text_of(page, marks))
                 names = part.schema.names[:carry]
                 yield pa.RecordBatch.from_arrays([*part.columns[:carry], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
@@ -249,13 +310,31 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), min_p
     source = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(*carry, host.alias("__host"), source.alias("__html"))
     scratch = Scratch(pages.sparkSession)
-    found = scratch.write(templates(rows.select(F.col("__host").alias("host"), F.col("__html").alias("html")), min_pages, min_share), "templates")
-    sets = found.groupBy(F.col("host").alias("__host")).agg(F.collect_list("hash").alias("__hashes"), F.collect_list("share").alias("__shares"))
-    if found.count() <= broadcast_hashes:
-        joined = rows.join(F.broadcast(sets), "__host", "left")
-    else:
-        salt = F.pmod(F.xxhash64("__html"), F.lit(SALTS))
-        salted = sets.withColumn("__salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = rows.withColumn("__salt", salt).join(salted, ["__host", "__salt"], "left")
     schema = rows.select(*carry).withColumns({"text": F.lit(""), "n_chars": F.lit(0).cast("long")}).schema
-    return joined.select(*carry, "__host", "__html", "__hashes", "__shares").mapInArrow(_texts(len(carry)), schema)
+    named = rows.where("__host != ''").select(F.col("__host").alias("host"), F.col("__html").alias("html"))
+    sketches = scratch.write(named.mapInArrow(_sketch, "host string, key long, grams array<long>, hashes array<long>"), "sketches")
+    found = scratch.write(templates(sketches, min_pages, min_share), "templates")
+    scratch.drop(sketches)
+    if found.count() <= broadcast_hashes:
+        table = found.select("host", "hash", "mark").toArrow().combine_chunks()
+        hosts = table.column("host").to_pylist()
+        keys = mix64(np.asarray(table.column("hash"), np.int64).view(np.uint64) ^ np.array([_host_key(x) for x in hosts], np.uint64))
+        order = np.argsort(keys)
+        known = keys[order], np.asarray(table.column("mark"), np.int32)[order].astype(np.int8)
+        return rows.select(*carry, "__host", "__html").mapInArrow(_texts(len(carry), known), schema)
+    k1, k2 = F.xxhash64("__html"), F.xxhash64(F.lit(3), "__html")
+    once = rows.where("__host != ''").select(F.col("__host").alias("host"), k1.alias("k1"), k2.alias("k2"), F.col("__html").alias("html")).dropDuplicates(["host", "k1", "k2"])
+    own = scratch.write(once.mapInArrow(_own_hashes, "host string, k1 long, k2 long, hash long"), "own")
+    hot, cold = found.where(F.col("pages") >= HOT_PAGES), found.where(F.col("pages") < HOT_PAGES)
+    hits = own.join(F.broadcast(hot), ["host", "hash"]).unionByName(own.join(cold, ["host", "hash"]))
+    sets = hits.groupBy(F.col("host").alias("__host"), F.col("k1").alias("__k1"), F.col("k2").alias("__k2")).agg(F.collect_list(F.struct("hash", "mark")).alias("__t"))
+    joined = rows.withColumns({"__k1": k1, "__k2": k2}).join(sets, ["__host", "__k1", "__k2"], "left")
+    return joined.select(*carry, "__host", "__html", F.col("__t.hash").alias("__hashes"), F.col("__t.mark").alias("__marks")).mapInArrow(_texts(len(carry), None), schema)
+
+
+def _own_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "html"):
+            found = [np.unique(h[h != 0]) for h in map(subtree_hashes, map(parse, part.column(3).to_pylist()))]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            yield pa.RecordBatch.from_arrays([*[c.take(row) for c in part.columns[:3]], pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["host", "k1", "k2", "hash"])

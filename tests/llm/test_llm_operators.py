@@ -105,6 +105,29 @@ def test_html_removes_what_recurs_on_a_host(spark):
         assert got[10] == "Our offers today"
 
 
+def test_html_counts_pages_whatever_the_size_of_the_host(spark):
+    rng = np.random.default_rng(4)
+
+    def prose(n):
+        return " ".join(f"w{x}" for x in rng.integers(0, 10_000, n))
+
+    bodies = [[prose(30), prose(30), prose(30)] for _ in range(100)]
+    pages, want = [], []
+    for i, (zero, one, two) in enumerate(bodies):
+        end, inside = ("<div>Section offers today</div>", "<p>Read our <a>newsletter</a> every Monday</p>") if i < 12 else ("", "")
+        pages += [f"<body><div><p>{zero}</p></div>{end}</body>", f"<article><p>{one} <span>Monday</span> {two}</p>{inside}<p>{two}</p></article>"]
+        want += [zero, f"{one} Monday {two}\n\n{two}"]
+    shared = [prose(40) for _ in range(5)]  # near copies: what they share is their text
+    for i in range(12):
+        parts = [f"{p} {prose(1)}" if (k + i) % 3 == 0 else p for k, p in enumerate(shared)]
+        pages.append("<article>" + "".join(f"<p>{p}</p>" for p in parts) + "</article>")
+        want.append("\n\n".join(parts))
+    df = spark.createDataFrame([(i, "http://big.example.com/", h) for i, h in enumerate(pages)], "page_id long, url string, html string")
+    for most in (html_extract.BROADCAST_HASHES, 0):
+        got = {r.page_id: r.text for r in html_extract.extract(df, broadcast_hashes=most).collect()}
+        assert [got[i] for i in range(len(want))] == want
+
+
 # --- decontamination ----------------------------------------------------------
 
 
