@@ -215,6 +215,14 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, target: float = TARGE
     equal only to equal texts. A null doc_id gets the class of its text; a group
     without any doc_id has a null class_id.
     """
+    signed, classed = _classes(docs, threshold, target, trees, depth, block)
+    leaders = classed.groupBy("grp").agg(F.min("least").alias("class_id"))
+    table = classed.join(leaders, "grp").select("ck", "class_id", "n_links", "n_copies")
+    return signed.select("doc_id", "ck").join(table, "ck").select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def _classes(docs: DataFrame, threshold: float, target: float = TARGET, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """doc_id, ck of each row, and ck, grp, least (the least doc_id), n_links, n_copies of each text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     prefix = choose_depth(threshold, target, trees, depth)
@@ -250,25 +258,22 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, target: float = TARGE
     groups = connected_components(found.where(F.col("b").isNotNull()), scratch).select(F.col("node").alias("ck"), F.col("label").alias("grp"))
     copies = signed.groupBy("ck").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
     classed = copies.join(groups, "ck", "left").join(links, "ck", "left").withColumn("grp", F.coalesce("grp", "ck"))
-    leaders = classed.groupBy("grp").agg(F.min("least").alias("class_id"))
-    table = classed.join(leaders, "grp").select("ck", "class_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
-    return signed.select("doc_id", "ck").join(table, "ck").select("doc_id", "class_id", "n_links", "n_copies")
+    return signed, classed.select("ck", "grp", "least", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """docs with one row of each group of jaccard_links: that of the smallest doc_id.
+    """docs with one row of each group of jaccard_links: that of the smallest doc_id, and of its texts the least text key.
 
-    Rows without a doc_id stay only if no row of their group has one, one for
-    each text. Of rows that repeat a doc_id in one group, one stays.
+    A doc_id may stand on rows with different texts: each is a row of its own
+    group. A row without a doc_id stays only if no row of its group has one. Of
+    rows that repeat a doc_id and its text, one stays.
     """
     own = docs.columns
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumns({"__ck": F.md5(text.cast("binary")), "__id": F.col("doc_id").cast("long")})
-    classes = jaccard_links(docs, threshold)
-    keep = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    with_id = marked.join(keep.where(F.col("__id").isNotNull()), "__id").dropDuplicates(["__id"])
-    if classes.where(F.col("class_id").isNull()).limit(1).count():
-        with_class = marked.where(F.col("__id").isNull()).dropDuplicates(["__ck"])
-        others = marked.where(F.col("__id").isNotNull()).select("__ck").distinct()
-        with_id = with_id.unionByName(with_class.join(others, "__ck", "left_anti"))
-    return with_id.select(*own)
+    doc_id = F.col("doc_id").cast("long")
+    marked = docs.withColumns({"__ck": F.unhex(F.md5(text.cast("binary"))), "__id": F.coalesce(doc_id, F.lit(0).cast("long")), "__null": doc_id.isNull()})
+    _, classed = _classes(docs, threshold)
+    first = classed.groupBy("grp").agg(F.min(F.struct(F.col("least").isNull().alias("null"), "least", "ck")).alias("f"))
+    keep = first.select(F.col("f.ck").alias("__ck"), F.coalesce("f.least", F.lit(0).cast("long")).alias("__id"), F.col("f.null").alias("__null"))
+    keys = ["__ck", "__id", "__null"]
+    return marked.join(keep, keys).dropDuplicates(keys).select(*own)

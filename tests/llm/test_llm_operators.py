@@ -367,6 +367,16 @@ def test_keep_one(odd):
     assert Counter(r.doc_id for r in ngram_join.keep_one(odd).collect()) == Counter([1, 5, 3, 7, 8])
 
 
+def test_keep_one_with_different_texts_under_one_id(spark):
+    def text(name, last="z"):
+        return " ".join([*(f"{name}{i}" for i in range(40)), last])
+
+    rows = [(5, text("a")), (5, text("b")), (3, text("c")), (5, text("c")), (7, text("c", "y")), (5, text("b")), (9, text("d")), (9, text("d", "y"))]
+    got = Counter(tuple(r) for r in ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    d = min((text("d"), text("d", "y")), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert got == Counter([(5, text("a")), (5, text("b")), (3, text("c")), (9, d)])
+
+
 def test_contracted_stars_have_the_same_components(spark):
     rng = np.random.default_rng(1)
     edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))], "a long, b long")
