@@ -5,7 +5,8 @@ around a seed are patterns; any run of identifier-like words in the same context
 is an instance. Patterns and instances form a graph that Spark scores in rounds:
 a pattern is as good as the share of its occurrences that are trusted instances,
 an instance as good as the patterns it stands in. Instances of patterns with
-high confidence are reported although no base rule fits them.
+high confidence are reported although no base rule fits them, and so are plain
+words (handles, names) in such a context; plain words support no pattern.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from shutterlake.llm.common import Scratch, mix64, slices, text_buffer, words
 KINDS = ("email", "ip", "card", "phone")
 #: A pattern needs this many different trusted instances, and this share of its occurrences;
 #: an instance is trusted, and reported, at this confidence.
-MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE, ROUNDS = 5, 0.6, 0.8, 4
-#: Words that an identifier has at most; longer runs are tables of numbers.
+MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE = 5, 0.6, 0.8
+#: Runs of more words than this are cut at their base spans: several identifiers side by side.
 MOST_WORDS = 6
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -125,6 +126,7 @@ def scan(column: pa.Array) -> Scan:
     sums = np.concatenate([[0], np.cumsum(_STRONG[raw] | inner)])
     like = sums[end] > sums[start] if n else np.zeros(0, bool)
     kind = np.full(n, -1, np.int64)
+    opens = np.zeros(n + 1, bool)  # words where a base span begins or has just ended
     out = Scan(texts, spans, raw, byte_at, h, start, end, word_at, like, *[np.zeros(0, np.int64)] * 4)
     for i, own in enumerate(spans):
         if own:
@@ -133,6 +135,7 @@ def scan(column: pa.Array) -> Scan:
                 a, b = np.searchsorted(end, at[s], "right"), np.searchsorted(start, at[e], "left")
                 kind[a:b] = k
                 like[a:b] = True
+                opens[a] = opens[b] = True
     edge = np.zeros(n + 1, bool)
     edge[word_at] = True
     begins = like.copy()
@@ -140,12 +143,15 @@ def scan(column: pa.Array) -> Scan:
     ends = like.copy()
     ends[:-1] &= ~like[1:] | edge[1:n]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
-    few = last - first < MOST_WORDS
-    first, last = first[few], last[few]
-    inside = np.zeros(n + 1, np.int64)
-    np.add.at(inside, first, 1)
-    np.add.at(inside, last + 1, -1)
-    out.plain = np.cumsum(inside)[:n] == 0
+    long = np.zeros(n + 1, np.int64)
+    many = last - first >= MOST_WORDS
+    np.add.at(long, first[many], 1)
+    np.add.at(long, last[many] + 1, -1)
+    cuts = opens[:n] & (np.cumsum(long)[:n] > 0)
+    begins |= cuts
+    ends[:-1] |= cuts[1:] & like[:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    out.plain = ~like
     out.first, out.last = first, last
     out.text = np.searchsorted(word_at, first, "right") - 1
     seeded = np.where(kind >= 0, np.arange(n), n)
@@ -182,12 +188,8 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:3], spans, *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.int32())] * 3], names=names)
             if not len(s.first):
                 continue
-            begin, stop = _trimmed(s)
-            instance = np.zeros(len(s.first), np.uint64)
-            for k in range(MOST_WORDS):
-                at = s.first + k
-                here = at <= s.last
-                instance[here] = mix64(instance[here] + s.h[at[here]])
+            begin, stop = _trimmed(s, s.first, s.last, s.text, s.kind < 0)
+            instance = _instances(s)
             rows, patterns = [], []
             for has, found in contexts(s, s.first, s.last, s.text):
                 rows.append(has)
@@ -198,13 +200,20 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(r), pa.int64()), pa.array(k1[t]), pa.array(k2[t]), pa.nulls(len(r), _BASE), _signed(p), _signed(instance[r]), pa.array(s.kind[r].astype(np.int32)), pa.array(begin[r].astype(np.int32)), pa.array(stop[r].astype(np.int32))], names=names)
 
 
-def _trimmed(s: Scan) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each run in code points of its text, without punctuation at its ends."""
-    begin, stop = np.zeros(len(s.first), np.int64), np.zeros(len(s.first), np.int64)
+def _instances(s: Scan) -> np.ndarray:
+    """A hash of all words of each run, in their order."""
+    size = s.last - s.first + 1
+    start = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(start, size)
+    return mix64(np.add.reduceat(mix64(s.h[np.repeat(s.first, size) + place] + place.astype(np.uint64) * _LEFT), start))
+
+
+def _trimmed(s: Scan, first: np.ndarray, last: np.ndarray, text: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each wanted range of words in code points of its text, without punctuation at its ends."""
+    begin, stop = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
     at, known = np.zeros(1, np.int64), -1
-    for r, (a, b, i) in enumerate(zip(s.start[s.first], s.end[s.last], s.text, strict=True)):
-        if s.kind[r] >= 0:
-            continue
+    for r in np.flatnonzero(wanted):
+        a, b, i = s.start[first[r]], s.end[last[r]], text[r]
         if i != known:
             at, known = s.bytes_of(int(i)), i
         x, y = np.searchsorted(at, (a - s.byte_at[i], b - s.byte_at[i]))
@@ -234,6 +243,37 @@ def _backgrounds(bitmap: np.ndarray):
     return run
 
 
+def _plain_hits(bitmap: np.ndarray):
+    """k1, k2, text -> each plain word in a context whose pattern the bitmap does not exclude."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                s = scan(part.column(2))
+                at = np.flatnonzero(s.plain)
+                own = np.searchsorted(s.word_at, at, "right") - 1
+                rows, patterns = [], []
+                for has, p in contexts(s, at, at, own):
+                    hit = bitmap[p >> np.uint64(64 - _BITS)]
+                    rows.append(has[hit])
+                    patterns.append(p[hit])
+                r, p = np.concatenate(rows), np.concatenate(patterns)
+                order = np.argsort(r, kind="stable")
+                r, p = r[order], p[order]
+                if len(r):
+                    begin, stop = _trimmed(s, at[r], at[r], own[r], np.ones(len(r), bool))
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(own[r])), part.column(1).take(pa.array(own[r])), _signed(p), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["k1", "k2", "pattern", "start", "end"])
+
+    return run
+
+
+def _bitmap(patterns: DataFrame) -> np.ndarray:
+    """Which first bits patterns have. Its size is fixed, 2^20 bits; with very many patterns it lets more rows through, with the same result."""
+    bitmap = np.zeros(1 << _BITS, bool)
+    bitmap[[r[0] for r in patterns.select(F.shiftrightunsigned("pattern", 64 - _BITS).alias("b")).distinct().collect()]] = True
+    return bitmap
+
+
 def _patterns(edges: DataFrame, totals: DataFrame, trusted: DataFrame) -> DataFrame:
     """pattern, kind, precision of the patterns with enough trusted instances of their best kind."""
     support = edges.join(trusted, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("support"))
@@ -273,25 +313,25 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     frequent = scratch.write(frequent, "patterns")
     found: DataFrame | None = None
     if frequent.where(F.col("seeds") >= MIN_SUPPORT).limit(1).count():
-        # The bitmap has a fixed size, 2^20 bits; with very many patterns it lets more rows through, with the same result.
-        bits = [r[0] for r in frequent.select(F.shiftrightunsigned("pattern", 64 - _BITS).alias("b")).distinct().collect()]
-        bitmap = np.zeros(1 << _BITS, bool)
-        bitmap[bits] = True
-        background = keyed.select("text").mapInArrow(_backgrounds(bitmap), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+        background = keyed.select("text").mapInArrow(_backgrounds(_bitmap(frequent)), "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
         totals = scratch.write(frequent.join(background, "pattern", "left").select("pattern", (F.col("instances") + F.coalesce("n", F.lit(0))).alias("total")), "totals")
         edges = scratch.write(edges.join(frequent.select("pattern"), "pattern"), "edges")
         seeds = edges.where(F.col("seed") >= 0).groupBy("instance").agg(F.max("seed").alias("kind")).withColumn("score", F.lit(1.0))
         trusted = scratch.write(seeds, "trusted")
-        before = -1
-        for _ in range(ROUNDS):
+        # Until the patterns and their precision stand still; a state that comes again would come for ever.
+        states: set[tuple] = set()
+        while True:
             patterns = scratch.write(_patterns(edges.select("pattern", "instance"), totals, trusted), "scored")
-            count = patterns.count()
-            if count == before or not count:
+            state = tuple(patterns.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("pattern", "kind", F.round("precision", 3)))).first())
+            if state in states or not state[0]:
                 break
-            before = count
+            states.add(state)
             new = edges.where(F.col("seed") < 0).join(patterns, "pattern")
             trusted = scratch.write(seeds.unionByName(_confident(new, "instance")), "trusted")
-        hits = runs.where(F.col("kind") < 0).select("k1", "k2", "pattern", "start", "end").distinct().join(patterns, "pattern")
+        places = runs.where(F.col("kind") < 0).select("k1", "k2", "pattern", "start", "end")
+        if state[0]:
+            places = places.unionByName(keyed.select("k1", "k2", "text").mapInArrow(_plain_hits(_bitmap(patterns)), "k1 long, k2 long, pattern long, start int, end int"))
+        hits = places.distinct().join(patterns, "pattern")
         found = _confident(hits, "k1", "k2", "start", "end").where(F.col("start") < F.col("end"))
     out = measured.where(F.col("spans").isNotNull()).select("doc_id", "k1", "k2", F.col("spans").alias("base"))
     if found is None:

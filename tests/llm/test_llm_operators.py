@@ -218,6 +218,27 @@ def test_patterns_find_unseen_identifiers(spark):
     assert personal_data.find_personal_data(df.limit(0)).count() == 0
 
 
+def test_patterns_find_long_runs_names_and_chains(spark):
+    rows = [(i, f"{i} please call me at +1 (743) 555-{1000 + i} after noon") for i in range(20)]
+    iban = "FR76 3000 6000 0112 3456 7890 189"
+    rows += [(100, f"please call me at {iban} after noon"), (101, "please call me at jane_doe after noon"), (102, "please call me at Rumpelstilz, after noon")]
+    rows += [(500 + j, f"please call me at id-{j} after noon") for j in range(7)]
+    for k, c in enumerate("abcdefgh"):  # each context shares seven of its ten instances with the one before
+        rows += [(1000 + 10 * k + j, f"go to{c} x{c} id-{3 * k + j} now{c} here{c}") for j in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: [texts[r.doc_id][s.start : s.end] for s in r.spans] for r in personal_data.find_personal_data(df).collect()}
+    assert [got[i] for i in (100, 101, 102)] == [[iban], ["jane_doe"], ["Rumpelstilz"]]
+    assert all(got[1000 + 10 * k + j] == [f"id-{3 * k + j}"] for k in range(8) for j in range(10))
+
+
+def test_long_runs_are_cut_at_base_spans():
+    import pyarrow as pa
+
+    s = personal_data.scan(pa.array(["call +1 (743) 555-2000 +44 20 7946 0958 a1 b2 now", "x " + "12 " * 9 + "y"]))
+    assert [(int(a), int(b), int(k)) for a, b, k in zip(s.first, s.last, s.kind)] == [(1, 3, 3), (4, 7, 3), (8, 9, -1), (12, 20, -1)]
+
+
 # --- quality rules and lines ----------------------------------------------------
 
 
