@@ -242,11 +242,14 @@ def _classes(docs: DataFrame, threshold: float, target: float = TARGET, trees: i
 
     near = near.select(F.col("node").alias("ck"), F.col("label").alias("comp"))
     sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    first_doc = signed.where(F.col("doc_id").isNotNull()).groupBy("ck").agg(F.min("doc_id").alias("first_doc"))
+    first_doc = signed.groupBy("ck").agg(F.min("doc_id").alias("first_doc"))
     members = near.join(sizes, "comp").select("ck", "comp", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    # A class is read again from one of its documents: any row with this id and text.
+    # A class is read again from one of its documents: any row with this id and text, or any with this text if none has an id.
     readers = members.join(first_doc, "ck").select(F.col("first_doc").alias("doc_id"), "ck", "comp", "blocks")
     again = base.join(readers, ["doc_id", "ck"]).dropDuplicates(["doc_id", "ck"]).select("ck", "comp", "blocks", "text")
+    if signed.where(F.col("doc_id").isNull()).limit(1).count():
+        nameless = base.where(F.col("doc_id").isNull()).dropDuplicates(["ck"]).drop("doc_id")
+        again = again.unionByName(nameless.join(readers.where(F.col("doc_id").isNull()), "ck").select("ck", "comp", "blocks", "text"))
     sets = again.mapInArrow(_shingle_sets(trees, depth, prefix), "ck binary, comp binary, blocks int, sets binary, keys binary")
     own = F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int")
     spread = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

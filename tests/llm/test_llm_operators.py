@@ -398,6 +398,17 @@ def test_keep_one_with_different_texts_under_one_id(spark):
     assert got == Counter([(5, text("a")), (5, text("b")), (3, text("c")), (9, d)])
 
 
+def test_near_copies_without_an_id(spark):
+    near = [t for _, t in copies(3, 1)]
+    other = [t.replace("t", "u") for t in near]
+    rows = [(4, near[0]), (None, near[1]), (None, near[1]), (6, near[2]), (None, other[0]), (None, other[1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = Counter((r.doc_id, r.class_id, r.n_links) for r in ngram_join.jaccard_links(df).collect())
+    assert got == classes_by_hand(rows)
+    kept = [tuple(r) for r in ngram_join.keep_one(df).collect()]
+    assert len(kept) == 2 and (4, near[0]) in kept and {i for i, _ in kept} == {4, None}
+
+
 def test_contracted_stars_have_the_same_components(spark):
     rng = np.random.default_rng(1)
     edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))], "a long, b long")
