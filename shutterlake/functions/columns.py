@@ -15,20 +15,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 # --- text -------------------------------------------------------------------
 
+#: What a stem leaves out, in this order (extension, edit marks, copy marks, counters in brackets),
+#: and where a file's number stands.
+STEM_NOISE = (r"\.[^.]*$", r"(?i)(_edited)+", r"(?i)(_copy)+", r"[\s_-]*\(\d+\)")
+COUNTERS = (r"(\d{3,7})", r"(\d{1,2})(?:\.[^.]*)?$")
+
 
 def stem(filename: Column) -> Column:
     """Lower-cased name without extension, copy and edit marks and counters in brackets."""
-    bare = F.regexp_replace(filename, r"\.[^.]*$", "")
-    for pattern in (r"(?i)(_edited)+", r"(?i)(_copy)+", r"[\s_-]*\(\d+\)"):
+    bare = filename
+    for pattern in STEM_NOISE:
         bare = F.regexp_replace(bare, pattern, "")
     return F.lower(F.trim(bare))
 
 
 def sequence_number(filename: Column) -> Column:
     """The first three to seven digits, else one or two before the extension, else null."""
-    long = F.regexp_extract(filename, r"(\d{3,7})", 1)
-    short = F.regexp_extract(filename, r"(\d{1,2})(?:\.[^.]*)?$", 1)
-    return F.coalesce(F.nullif(long, F.lit("")), F.nullif(short, F.lit(""))).cast("long")
+    return F.coalesce(*[F.nullif(F.regexp_extract(filename, p, 1), F.lit("")) for p in COUNTERS]).cast("long")
 
 
 def phone_key(phone: Column) -> Column:

@@ -2,39 +2,63 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def levels(curve: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """A curve over brightness in [0, 1] as a table of 256 whole output levels, rounded down; what leaves the range is held at its ends."""
+    brightness = np.linspace(0, 1, 256)
+    return np.floor(255 * np.minimum(np.maximum(curve(brightness), 0), 1) + 1e-4).astype(np.uint8)
+
+
 def exposure_lut(ev: float) -> np.ndarray:
-    """256 output levels for a gain of 2^ev; a gain above one saturates exponentially towards white. Single precision, cut to whole levels."""
-    level, gain = np.arange(256, dtype=np.float32), 2.0**ev
-    y = 255 * (1 - np.exp(-level * (gain / 255))) / max(0.01, 1 - float(np.exp(-gain))) if gain > 1 else level * gain
-    return np.clip(y, 0, 255).astype(np.uint8)
+    """Levels after a change by ev stops.
+
+    Darker is a straight line. Brighter is the curve through black and white
+    whose slope decays as e^(-gain x), so that highlights roll off: the integral
+    of that decay, over its integral up to white.
+    """
+    gain = 2.0**ev
+    return levels(lambda x: np.expm1(-gain * x) / np.expm1(-gain) if gain > 1 else gain * x)
+
 
+@dataclass(frozen=True)
+class Ramp:
+    """Where a tone control acts: not at all up to level `off`, fully from level `full`, by a power in between; in levels for a unit of the control."""
 
-#: Fixed values of the tone curve, for each control: the level at which its ramp is 0, that at which it is 1,
-#: the ramp's power, and the levels moved by one unit of the control.
-TONE = {"shadows": (100, 0, 1.8, 0.32), "highlights": (128, 255, 1.35, 0.42), "whites": (175, 255, 1.0, 0.28), "blacks": (60, 0, 1.0, 0.22)}
+    off: float
+    full: float
+    power: float
+    unit: float
+
+    def moved(self, x: np.ndarray, amount: float) -> np.ndarray:
+        up = np.interp(255 * x, sorted((self.off, self.full)), (0, 1))
+        return amount * self.unit / 255 * (up if self.full > self.off else 1 - up) ** self.power
+
+
+#: Fixed values of the tone controls, in the order in which they act, and the level below which shadows fade out.
+TONE = {"shadows": Ramp(100, 0, 1.8, 0.32), "highlights": Ramp(128, 255, 1.35, 0.42), "whites": Ramp(175, 255, 1.0, 0.28), "blacks": Ramp(60, 0, 1.0, 0.22)}
+DEEPEST, MIDDLE, DEAD_ZONE = 8, 128, 0.1
 
 
 def tone_lut(contrast: float = 0.0, **controls: float) -> np.ndarray:
-    """256 output levels of the tone controls of TONE, then contrast about level 128.
+    """Levels after the controls of TONE, each on what the ones before left, and then contrast about the middle. Amounts within DEAD_ZONE do nothing."""
+    acting = [(name, ramp, controls[name]) for name, ramp in TONE.items() if abs(controls.get(name, 0.0)) > DEAD_ZONE]
+    slope = 1 + contrast / 100 if abs(contrast) > DEAD_ZONE else 1.0
 
-    Each control moves the levels of its ramp as the earlier ones left them;
-    shadows leave the lowest eight levels mostly alone. A control within 0.1 of zero is off.
-    """
-    y = np.arange(256, dtype=np.float32)
-    for name, (low, high, power, step) in TONE.items():
-        amount = controls.get(name, 0.0)
-        if abs(amount) > 0.1:
-            ramp = np.clip((y - low) / (high - low), 0, 1) ** power
-            y = y + ramp * (np.clip(y / 8, 0, 1) if name == "shadows" else 1) * amount * step
-    if abs(contrast) > 0.1:
-        y = 128 + (y - 128) * (100 + contrast) / 100
-    return np.clip(y, 0, 255).astype(np.uint8)
+    def curve(x: np.ndarray) -> np.ndarray:
+        for name, ramp, amount in acting:
+            fade = np.interp(255 * x, (0, DEEPEST), (0, 1)) if name == "shadows" else 1
+            x = x + fade * ramp.moved(x, amount)
+        return slope * x + (1 - slope) * MIDDLE / 255
+
+    return levels(curve)
 
 
 def blend_weights(size: int, overlap: int, first: bool = False, last: bool = False) -> np.ndarray:

@@ -90,12 +90,21 @@ def export_folder(choice: Column, is_edited: Column) -> Column:
     return F.when(choice == "CLIENT_SELECTED", "Customer-Selected").when(choice.isin("BEST", "SELECTED"), F.when(is_edited, "AI-Edited").otherwise("AI-Selected")).when(choice == "REJECT", "Rejected").otherwise("Review")
 
 
+#: What a customer is told about a coupon.
+COUPON_UNKNOWN = "Invalid or expired coupon code"
+COUPON_EXPIRED = "This coupon has expired"
+COUPON_USED_UP = "This coupon has reached its usage limit"
+COUPON_OTHER_PLAN = "This coupon is not valid for the %s plan"
+COUPON_INACTIVE = "This referral code is no longer active"
+
+
 def coupon_error(now: Column, plan: Column, c: dict[str, Column]) -> Column:
     """The first error of a coupon, or null. c: code (null: no such coupon), active, valid_until (0: none), max_uses (0: any), used, plans (csv, empty: all), agent_id, agent_status."""
-    return (
-        F.when(c["code"].isNull() | (c["active"] == 0), "Invalid or expired coupon code")
-        .when((c["valid_until"] > 0) & (c["valid_until"] < now), "This coupon has expired")
-        .when((c["max_uses"] > 0) & (c["used"] >= c["max_uses"]), "This coupon has reached its usage limit")
-        .when((c["plans"] != "") & ~F.array_contains(F.split(c["plans"], ","), plan), F.concat(F.lit("This coupon is not valid for the "), plan, F.lit(" plan")))
-        .when(c["agent_id"].isNotNull() & ~c["agent_status"].eqNullSafe("ACTIVE"), "This referral code is no longer active")
+    checks = (
+        (c["code"].isNull() | (c["active"] == 0), F.lit(COUPON_UNKNOWN)),
+        ((c["valid_until"] > 0) & (c["valid_until"] < now), F.lit(COUPON_EXPIRED)),
+        ((c["max_uses"] > 0) & (c["used"] >= c["max_uses"]), F.lit(COUPON_USED_UP)),
+        ((c["plans"] != "") & ~F.array_contains(F.split(c["plans"], ","), plan), F.format_string(COUPON_OTHER_PLAN, plan)),
+        (c["agent_id"].isNotNull() & ~c["agent_status"].eqNullSafe("ACTIVE"), F.lit(COUPON_INACTIVE)),
     )
+    return F.coalesce(*[F.when(fails, text) for fails, text in checks])
