@@ -1,12 +1,15 @@
 """Personal data by bootstrapped contextual extraction.
 
-Base rules find emails, IP addresses, cards and phones: the seeds. The words
-around a seed are patterns; any run of identifier-like words in the same context
-is an instance. Patterns and instances form a graph that Spark scores in rounds:
-a pattern is as good as the share of its occurrences that are trusted instances,
-an instance as good as the patterns it stands in. Instances of patterns with
-high confidence are reported although no base rule fits them, and so are plain
-words (handles, names) in such a context; plain words support no pattern.
+Base rules find emails, IP addresses, cards and phones: the seeds. Long
+hexadecimal keys are weak seeds of a further kind, secret: they teach contexts
+but are reported only where a learned context holds them. The words around a
+seed, whatever their case, are patterns; any run of identifier-like words in the
+same context is an instance. Patterns and instances form a graph that Spark
+scores in rounds: a pattern is as good as the share of its occurrences that are
+trusted instances, an instance as good as the patterns it stands in. Instances
+of patterns with high confidence are reported although no base rule fits them,
+and so are plain words (handles, names) in such a context; plain words support
+no pattern.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 
 from shutterlake.llm.common import Scratch, mix64, slices, text_buffer, words
 
-KINDS = ("email", "ip", "card", "phone")
+#: Kinds of the base rules, and the kind that contexts alone can find.
+BASE_KINDS, SECRET = ("email", "ip", "card", "phone"), 4
+KINDS = (*BASE_KINDS, "secret")
 #: A pattern needs this many different trusted instances, and this share of its occurrences;
 #: an instance is trusted, and reported, at this confidence.
 MIN_SUPPORT, MIN_PRECISION, MIN_CONFIDENCE = 5, 0.6, 0.8
@@ -34,6 +39,8 @@ _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
+#: A weak seed: 32 hexadecimal digits or more, of which some are letters.
+_KEY = re.compile(r"(?<![0-9A-Za-z])(?=[0-9]*+[A-Fa-f])[0-9A-Fa-f]{32,}+(?![0-9A-Za-z])")
 
 Span = tuple[int, int, int]
 
@@ -43,6 +50,7 @@ def _digits(text: str) -> str:
 
 
 def luhn(digits: str) -> bool:
+    """Whether the check digit of a card number fits; true for an empty text."""
     total = 0
     for i, c in enumerate(reversed(digits)):
         d = int(c) * (1 + i % 2)
@@ -115,10 +123,11 @@ class Scan:
 
 
 def scan(column: pa.Array) -> Scan:
+    """Base spans, words and runs of each text of a column; null counts as empty. Words that differ in the case of A-Z alone are one word."""
     texts = [t or "" for t in column.to_pylist()]
     spans = [base_spans(t) for t in texts]
     raw, byte_at = text_buffer(column)
-    h, start, end, word_at = words(raw, byte_at)
+    h, start, end, word_at = words(np.where((raw >= 65) & (raw <= 90), raw | 32, raw), byte_at)
     n = len(h)
     inner = np.zeros(len(raw), bool)
     if len(raw) > 2:
@@ -126,16 +135,19 @@ def scan(column: pa.Array) -> Scan:
     sums = np.concatenate([[0], np.cumsum(_STRONG[raw] | inner)])
     like = sums[end] > sums[start] if n else np.zeros(0, bool)
     kind = np.full(n, -1, np.int64)
-    opens = np.zeros(n + 1, bool)  # words where a base span begins or has just ended
+    opens, keys = np.zeros(n + 1, bool), np.zeros(n + 1, bool)  # words where a seed begins or has just ended; where a weak one does
     out = Scan(texts, spans, raw, byte_at, h, start, end, word_at, like, *[np.zeros(0, np.int64)] * 4)
     for i, own in enumerate(spans):
-        if own:
+        seeds = [*own, *((m.start(), SECRET, m.end()) for m in _KEY.finditer(texts[i]))]
+        if seeds:
             at = out.bytes_of(i) + byte_at[i]
-            for s, k, e in reversed(own):
+            for s, k, e in reversed(seeds):
                 a, b = np.searchsorted(end, at[s], "right"), np.searchsorted(start, at[e], "left")
                 kind[a:b] = k
                 like[a:b] = True
                 opens[a] = opens[b] = True
+                if k == SECRET:
+                    keys[a] = keys[b] = True
     edge = np.zeros(n + 1, bool)
     edge[word_at] = True
     begins = like.copy()
@@ -147,7 +159,7 @@ def scan(column: pa.Array) -> Scan:
     many = last - first >= MOST_WORDS
     np.add.at(long, first[many], 1)
     np.add.at(long, last[many] + 1, -1)
-    cuts = opens[:n] & (np.cumsum(long)[:n] > 0)
+    cuts = like & (opens[:n] & (np.cumsum(long)[:n] > 0) | keys[:n])
     begins |= cuts
     ends[:-1] |= cuts[1:] & like[:-1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends)
@@ -188,7 +200,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*part.columns[:3], spans, *[pa.nulls(n, pa.int64())] * 2, *[pa.nulls(n, pa.int32())] * 3], names=names)
             if not len(s.first):
                 continue
-            begin, stop = _trimmed(s, s.first, s.last, s.text, s.kind < 0)
+            begin, stop = _trimmed(s, s.first, s.last, s.text, (s.kind < 0) | (s.kind == SECRET))
             instance = _instances(s)
             rows, patterns = [], []
             for has, found in contexts(s, s.first, s.last, s.text):
@@ -322,13 +334,16 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         states: set[tuple] = set()
         while True:
             patterns = scratch.write(_patterns(edges.select("pattern", "instance"), totals, trusted), "scored")
+            scratch.drop(trusted)
             state = tuple(patterns.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("pattern", "kind", F.round("precision", 3)))).first())
             if state in states or not state[0]:
                 break
             states.add(state)
             new = edges.where(F.col("seed") < 0).join(patterns, "pattern")
             trusted = scratch.write(seeds.unionByName(_confident(new, "instance")), "trusted")
-        places = runs.where(F.col("kind") < 0).select("k1", "k2", "pattern", "start", "end")
+            scratch.drop(patterns)
+        scratch.drop(edges, totals, frequent)
+        places = runs.where((F.col("kind") < 0) | (F.col("kind") == SECRET)).select("k1", "k2", "pattern", "start", "end")
         if state[0]:
             places = places.unionByName(keyed.select("k1", "k2", "text").mapInArrow(_plain_hits(_bitmap(patterns)), "k1 long, k2 long, pattern long, start int, end int"))
         hits = places.distinct().join(patterns, "pattern")

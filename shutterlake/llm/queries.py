@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.llm import decontaminate, html_extract, language_id, line_dedup, ngram_join, packing, personal_data, quality_classifier, quality_rules, url_filter
@@ -46,12 +46,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def _spans_of(kind: int) -> Callable[[Column], Column]:
+    """Whether a span is of this kind. Of one parameter only: Spark hands a second one the index."""
+    return lambda span: span["kind"] == kind
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and digest, and all spans, of each document."""
     found = personal_data.find_personal_data(_table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.KINDS)]
+    counts = [F.size(F.filter("base", _spans_of(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(personal_data.BASE_KINDS)]
     digest = F.sha2(personal_data.written(F.col("base")).cast("binary"), 256)
-    return found.select("doc_id", *counts, digest.alias("base_sha256"), personal_data.written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), personal_data.written(F.col("spans")).alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
 def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
