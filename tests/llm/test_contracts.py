@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shutterlake.llm import personal_data, queries
+from shutterlake.llm import line_dedup, personal_data, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -85,3 +85,55 @@ def test_personal_data_bootstrap_recall_and_precision(spark):
     recall, precision = len(found & want) / len(want), len(found & want) / max(len(found), 1)
     print(f"bootstrapped identifiers: recall {recall:.3f}, precision {precision:.3f} of {len(want)}")
     assert recall >= 0.95 and precision >= 0.95
+
+
+# --- op9 ----------------------------------------------------------------------
+
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def deduplicated(rows, min_chars, min_docs):
+    """(doc, text) -> (lines, dropped, text left) of each row; a null id is the smallest."""
+
+    def key(line):
+        bare = line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+        return bare if len(bare) >= min_chars else None
+
+    own = [(-(2**63) if i is None else i, (t or "").split("\n")) for i, t in rows]
+    where = {}
+    for i, lines in own:
+        for line in lines:
+            where.setdefault(key(line), set()).add(i)
+    out = []
+    for i, lines in own:
+        left = [x for x in lines if key(x) is None or len(where[key(x)]) < min_docs or max(where[key(x)]) == i]
+        out.append((len(lines), len(lines) - len(left), "\n".join(left)))
+    return out
+
+
+def test_line_dedup_query(spark, texts):
+    rows = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_sha256) for r in queries.op9_line_dedup(spark, SF).collect()}
+    want = deduplicated(list(texts.items()), 40, 5)
+    assert rows == {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for i, (n, d, t) in zip(texts, want, strict=True)}
+    assert sum(d for _, d, _ in want) > 100
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_line_dedup_of_hot_keys_odd_ids_and_many_lines(spark, monkeypatch, hot):
+    if hot:  # every key is hot: the result is the same
+        monkeypatch.setattr(line_dedup, "HOT_LEAST", 1)
+        monkeypatch.setattr(line_dedup, "HOT_SHARE", 0)
+        monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    rng = np.random.default_rng(2)
+    rows = [(int(i) if i % 9 else None, "\n".join(f" Line {x}" for x in rng.integers(0, 30 if i % 3 else 3000, 20))) for i in rng.integers(0, 60, 150)]
+    rows += [(1000, "\n".join(f"line {x % 30}" for x in range(20_000))), (1001, None), (1002, ""), *rows[:5]]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, __words int, doc string")
+    got = Counter((r.doc_id, r["__n_lines"], r["__n_dropped"], r.text, r.doc) for r in line_dedup.deduplicate_lines(df, 6, 3).collect())
+    assert got == Counter((i, *d, "x") for (i, _), d in zip(rows, deduplicated(rows, 6, 3), strict=True))
+
+
+def test_line_dedup_sorts_each_range_by_document_and_position(spark):
+    lines = line_dedup.line_hashes(spark.read.parquet(f"{SF}/documents.parquet"), 40)
+    plan = line_dedup.dropped_lines(lines, line_dedup.counted(lines, line_dedup.hot_keys(lines)), 5)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"Sort \[h1#\d+L ASC NULLS FIRST, h2#\d+L ASC NULLS FIRST, part#\d+L ASC NULLS FIRST, doc#\d+L DESC NULLS LAST, pos#\d+ ASC NULLS FIRST\], false", plan)
+    assert "rangepartitioning(h1" in plan and "SortMergeJoin" not in plan
