@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,12 +23,12 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import Scratch, mix64, shingles, slices, text_buffer, words
 from shutterlake.llm.url_filter import split_url
 
-#: Fixed values of HTML: elements without content, elements whose content is no markup,
+#: Fixed values of HTML: elements without content, elements whose content is no markup and is never shown,
 #: elements that start a block, and elements that never hold article text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math canvas object xmp noembed noframes".split())
-BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-NEVER = frozenset("head nav header footer aside form button select dialog menu input label".split()) | RAW
+RAW = frozenset("script style textarea title iframe template svg noembed noframes".split())
+BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
+NEVER = frozenset("head nav header footer aside form button select datalist dialog menu annotation annotation-xml".split()) | RAW
 CORE = frozenset(["article", "main"])
 #: Elements that carry a text's own wording: inside the article they are text, however often a passage recurs,
 #: but for those of APART where they stand as blocks of their own.
@@ -37,6 +38,9 @@ CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbo
 ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|sidebar|side-bar|widget|related|recommend\w*|share|sharing|social|comment|comments|disqus|replies|breadcrumbs?|pagination|pager|navbar|navigation|menu|masthead|site-header|page-header|site-footer|page-footer|footer|toolbar|login|signup|search)(?:$|[\s_-])", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
+#: For the rest of a page once a quote in a tag has no end: the next > ends each tag.
+BARE_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
+LIKE_TAG = re.compile(r"</?[a-zA-Z]")
 SPACE = re.compile(r"[\s\x00-\x20]+")
 
 #: A subtree is template if it is on this many pages of its host that are no copies, or on as many pages and this
@@ -84,21 +88,25 @@ def parse(source: str) -> Page:
             starts.append(fresh)
             fresh = False
 
+    where: dict[str, list[int]] = defaultdict(list)  # of each tag, its places in the stack
+
     def close(tag: str, stop: frozenset[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if nodes[stack[k]].tag == tag:
-                del stack[k:]
-                return
-            if nodes[stack[k]].tag in stop:
-                return
-
-    n, last_end = len(source), source.rfind(">")
+        """Closes the innermost element of this tag, and what is open in it, unless one of stop is open in it. Each element is closed once, so a page takes linear time."""
+        if where[tag] and all(not where[t] or where[t][-1] <= where[tag][-1] for t in stop):
+            last = where[tag][-1]
+            while len(stack) > last:
+                where[nodes[stack.pop()].tag].pop()
+
+    n, last_end, form = len(source), source.rfind(">"), TAG
     while at < n:
         less = source.find("<", at)
         if less < 0:
             add(source[at:])
             break
-        m = TAG.match(source, less) if less < last_end or source.startswith("<!--", less) else None
+        m = form.match(source, less) if less < last_end or source.startswith("<!--", less) else None
+        if m is None and form is TAG and less < last_end and LIKE_TAG.match(source, less):
+            form = BARE_TAG
+            m = form.match(source, less)
         if m is None:
             if less > last_end and re.match(r"<[a-zA-Z/!?]", source[less : less + 2]):  # a tag that the end of the page cuts
                 add(source[at:less])
@@ -114,8 +122,6 @@ def parse(source: str) -> Page:
         if tag in BLOCK:
             fresh = True
         if m[1]:
-            if tag == "p" and not any(nodes[k].tag == "p" for k in stack):
-                continue
             if tag not in VOID:
                 close(tag, frozenset({"table"}) if tag in ("tr", "td", "th", "li") else frozenset())
             continue
@@ -130,8 +136,11 @@ def parse(source: str) -> Page:
                 close("dd" if tag == "dt" else "dt", frozenset({"dl"}))
         if tag in VOID:
             continue
-        if tag in RAW:
+        if tag in RAW or tag == "xmp":
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
+            if tag == "xmp":
+                add(html.escape(source[at : n if end is None else end.start()]))
+                fresh = True
             at = n if end is None else source.find(">", end.start()) + 1 or n
             continue
         attributes, above = m[3], nodes[stack[-1]]
@@ -141,6 +150,7 @@ def parse(source: str) -> Page:
             never = "hidden" in re.findall(r"[\w-]+", ATTRIBUTE.sub("", attributes).lower()) or named.get("aria-hidden", "") == "true" or named.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu") or bool(ROLE.search(f"{named.get('class', '')} {named.get('id', '')}"))
         never |= above.never
         nodes.append(Node(tag, never, stack[-1], above.core or tag in CORE and not never))
+        where[tag].append(len(stack))
         stack.append(len(nodes) - 1)
     return Page(nodes, texts, owners, starts)
 

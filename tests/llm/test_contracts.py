@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 import numpy as np
 import pytest
 
-from shutterlake.llm import line_dedup, personal_data, queries
+from shutterlake.llm import html_extract, line_dedup, personal_data, queries
 
 SF = "/root/testdata/sf0.01"
 
@@ -137,3 +138,67 @@ def test_line_dedup_sorts_each_range_by_document_and_position(spark):
     plan = line_dedup.dropped_lines(lines, line_dedup.counted(lines, line_dedup.hot_keys(lines)), 5)._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"Sort \[h1#\d+L ASC NULLS FIRST, h2#\d+L ASC NULLS FIRST, part#\d+L ASC NULLS FIRST, doc#\d+L DESC NULLS LAST, pos#\d+ ASC NULLS FIRST\], false", plan)
     assert "rangepartitioning(h1" in plan and "SortMergeJoin" not in plan
+
+
+# --- op3 ----------------------------------------------------------------------
+
+
+def pages_by_hand(rows, h=html_extract):
+    """(url, html) -> texts, with templates counted in plain dictionaries."""
+    parsed = [h.parse(t or "") for _, t in rows]
+    hosts = [re.split("[/?#]", u.split("://", 1)[1])[0].lower() if u and "://" in u else "" for u, _ in rows]
+    plain = [h.text_of(p, {}) for p in parsed]
+    subtrees = [set(h.subtree_hashes(p).tolist()) - {0} for p in parsed]
+    texts, grams = {}, {}
+    for host, t, s in zip(hosts, plain, subtrees, strict=True):
+        if host and (host, t) not in texts:
+            words = re.findall(r"[^\x20\x09-\x0D]+", t)
+            texts[host, t] = ({tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}, s)
+    for (host, t), (own, _) in texts.items():
+        for g in own:
+            grams.setdefault((host, g), []).append(t)
+    counts, votes, sizes = Counter(), Counter(), Counter(x for x in hosts if x)
+    for host, s in zip(hosts, subtrees, strict=True):
+        if host:
+            counts.update((host, x) for x in s)
+    for (host, t), (own, s) in texts.items():
+        single = sum(len(grams[host, g]) == 1 for g in own)
+        if own and single >= h.OWN_SHARE * len(own):
+            votes.update((host, x) for x in s)
+    marks = {}
+    for (host, x), n in counts.items():
+        if n >= h.MIN_PAGES:
+            share = n / sizes[host]
+            mark = h.OUTSIDE | h.INSIDE if share >= h.CORE_SHARE else h.OUTSIDE if share >= h.MIN_SHARE else 0
+            if votes[host, x] >= h.MIN_PAGES:
+                mark |= h.OUTSIDE | h.INSIDE | h.WORDS if votes[host, x] >= h.CORE_PAGES else h.OUTSIDE
+            marks.setdefault(host, {})[x] = mark
+    return [h.text_of(p, marks.get(host, {})) for p, host in zip(parsed, hosts, strict=True)], plain
+
+
+def test_html_query_counts_templates_like_dictionaries(spark):
+    rows = spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()
+    want, plain = pages_by_hand([(r.url, r.html) for r in rows])
+    got = {r.page_id: (r.text, r.n_chars) for r in queries.op3_html_extract(spark, SF).collect()}
+    assert got == {r.page_id: (t, len(t)) for r, t in zip(rows, want, strict=True)}
+    print(f"pages that templates change: {sum(a != b for a, b in zip(want, plain, strict=True))} of {len(rows)}")
+
+
+def test_html_of_deep_long_and_broken_pages():
+    deep = 100_000
+    start = time.time()
+    for source, text in (("<div>" * deep + "x" + "</div>" * deep, "x"), ("<p><b>" * deep + "y", "y"), ("<ul><li>" * deep + "z", "z"), ("<table><tr><td>" * deep + "q", "q"), ("<p>" + "word " * 400_000, ("word " * 400_000).strip())):
+        assert html_extract.text_of(html_extract.parse(source), {}) == text
+    html_extract.parse('<a "x" ' * deep + '">"')
+    assert time.time() - start < 60
+
+
+def test_html_keeps_all_text_of_the_article():
+    source = "<article><p>Area is <math><mi>x</mi><annotation>tex</annotation></math> units <label>lab</label> <canvas>cv</canvas> <object>ob</object> <noscript>ns</noscript></p><xmp>a < b & <i></xmp>t</article>"
+    assert html_extract.text_of(html_extract.parse(source), {}) == "Area is x units lab cv ob ns\n\na < b & <i>\n\nt"
+
+
+def test_html_of_repeated_rows_and_clashing_columns(spark):
+    rows = [(1, "http://a.b/", "<article><p>one</p></article>"), (1, "http://a.b/", "<article><p>one</p></article>"), (None, None, None)]
+    df = spark.createDataFrame([(*r, "x", 7) for r in rows], "page_id long, url string, html string, __host string, text int")
+    assert Counter((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect()) == Counter({(1, "one", 3): 2, (None, "", 0): 1})
