@@ -9,6 +9,10 @@ with the target recall. Candidates pass an exact edit-distance check.
 Windows that cannot be within the distance are not embedded: k edits leave at
 least one run of q unchanged words of the item, so a window needs a q-gram of
 an item near the place where that item has it. This loses nothing.
+
+Items too short for a walk, and lengths at which MOST_REPETITIONS do not reach
+the target, go without keys: every place that shares a q-gram with such an item
+is checked by exact edit distance.
 """
 
 from __future__ import annotations
@@ -24,10 +28,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import grams_of, slices, text_buffer, words
+from shutterlake.llm.common import grams_of, mix64, slices, text_buffer, words
 
+#: Items of fewer words have no walk.
 MIN_WORDS, EDIT_SHARE, TARGET = 6, 0.2, 0.98
-SAMPLES, BLOCK_ITEMS = 4, 2000
+SAMPLES, MOST_REPETITIONS = 4, 256
+#: Items that a task holds at once (about 100 MB): the documents are read once for each such block.
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000
 _PUNCT = np.zeros(256, bool)
 _PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -43,10 +50,12 @@ def plain_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edits_allowed(n: int, share: float = EDIT_SHARE) -> int:
+    """How many words of an item of n words may differ."""
     return int(share * n + 1e-9)
 
 
 def sure_run(n: int, share: float = EDIT_SHARE) -> int:
+    """Words of the longest run that as many edits as allowed leave unchanged in an item of n words, whatever they are."""
     k = edits_allowed(n, share)
     return math.ceil((n - k) / (k + 1))
 
@@ -85,15 +94,20 @@ def embed(h: np.ndarray, start: np.ndarray, stop: np.ndarray, size: int, coins:
 
 @dataclass
 class LengthClass:
-    """Items whose number of words lies in [size, size * 1.25): their walks read their first `size` words."""
+    """Items whose number of words lies in [size, size * 1.25): their walks read the first `size` words, the exact check all.
+
+    A class without repetitions has no walks: `items` then tells which item has each gram, and `low` where.
+    """
 
     size: int
+    q: int
     coins: np.ndarray
     sampled: np.ndarray
     keys: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)
     gram: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     low: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     high: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    items: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
 
 
 class Index:
@@ -104,19 +118,19 @@ class Index:
         h, offsets = plain_words(texts)
         self.share, self.ids = share, [i for i, _ in items]
         self.items = [h[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        usable = [i for i, x in enumerate(self.items) if len(x) >= MIN_WORDS]
-        self.q = min([sure_run(len(self.items[i]), share) for i in usable], default=1)
         by_size: dict[int, list[int]] = defaultdict(list)
-        for i in usable:
-            by_size[int(math.log(len(self.items[i]) / MIN_WORDS) / math.log(1.25) + 1e-9)].append(i)
+        for i, x in enumerate(self.items):
+            if len(x):  # short items: one class for each length
+                by_size[len(x) - MIN_WORDS if len(x) < MIN_WORDS else int(math.log(len(x) / MIN_WORDS) / math.log(1.25) + 1e-9)].append(i)
         self.classes = [self._class(min(len(self.items[i]) for i in group), group, target) for group in by_size.values()]
-        every = np.concatenate([c.gram for c in self.classes] or [np.zeros(0, np.uint64)])
-        self.bits = np.zeros(1 << 21, bool)
-        self.bits[every >> np.uint64(43)] = True
+        self.bits: dict[int, np.ndarray] = {}
+        for c in self.classes:
+            self.bits.setdefault(c.q, np.zeros(1 << 21, bool))[c.gram >> np.uint64(43)] = True
 
     def _class(self, size: int, group: list[int], target: float) -> LengthClass:
         rng = np.random.default_rng(size)
         steps = max(4, int(1.5 * size))
+        q = min(sure_run(len(self.items[i]), self.share) for i in group)
 
         def draw(reps: int) -> tuple[np.ndarray, np.ndarray]:
             coins = rng.integers(1, 1 << 63, (reps, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,8 +141,16 @@ class Index:
             order = np.argsort(np.argsort(np.where(inside, rng.random((reps, steps)), 2), axis=1), axis=1)
             return coins, (order < SAMPLES) & inside
 
-        reps = self._repetitions(size, group, target, *draw(128), rng)
-        found = LengthClass(size, *draw(reps))
+        reps = self._repetitions(size, group, target, *draw(128), rng) if size >= MIN_WORDS else 0
+        found = LengthClass(size, q, *draw(reps))
+        grams = [grams_of(self.items[i], q) for i in group]
+        if not reps:
+            every = np.concatenate(grams)
+            order = np.argsort(every, kind="stable")
+            found.gram = every[order]
+            found.items = np.repeat(group, [len(g) for g in grams])[order]
+            found.low = found.high = np.concatenate([np.arange(len(g)) for g in grams])[order]
+            return found
         packed = np.concatenate([self.items[i] for i in group])
         ends = np.cumsum([len(self.items[i]) for i in group])
         starts = ends - [len(self.items[i]) for i in group]
@@ -138,9 +160,9 @@ class Index:
             found.keys.append((row[order], np.array(group)[order]))
         # Where an item's gram may lie after the start of a window: its offset, give or take the edits.
         reach: dict[int, list[int]] = {}
-        for i in group:
+        for i, own in zip(group, grams, strict=True):
             k = edits_allowed(len(self.items[i]), self.share)
-            for at, g in enumerate(grams_of(self.items[i], self.q).tolist()):
+            for at, g in enumerate(own.tolist()):
                 low, high = reach.get(g, (1 << 40, -1))
                 reach[g] = [min(low, at - k), max(high, at + k)]
         found.gram = np.array(sorted(reach), np.uint64)
@@ -149,66 +171,92 @@ class Index:
         return found
 
     def _repetitions(self, size: int, group: list[int], target: float, coins: np.ndarray, sampled: np.ndarray, rng: np.random.Generator) -> int:
-        """So many that mean recall over items edited as much as allowed reaches the target; the trials are windows of at most 64 items."""
-        miss_by_item = []
-        for i in group[:64]:
-            item = self.items[i].tolist()
-            for kind in range(3):
-                edited = list(item)
-                for _ in range(edits_allowed(len(item), self.share)):
-                    at = int(rng.integers(0, len(edited)))
-                    if kind == 0:
-                        edited[at] = int(rng.integers(1, 1 << 63))
-                    elif kind == 1 and len(edited) > 1:
-                        del edited[at]
-                    else:
-                        edited.insert(at, int(rng.integers(1, 1 << 63)))
-                both = np.array(item + edited, np.uint64)
-                keys = embed(both, np.array([0, len(item)]), np.array([len(item), len(both)]), size, coins, sampled)
-                miss_by_item.append(1 - (keys[:, 0] == keys[:, 1]).mean())
-        miss = np.array(miss_by_item)
-        reps = 4
-        while reps < 256 and 1 - (miss**reps).mean() < target:
-            reps += 4
-        return reps
+        """So many that mean recall over all items of the class, edited as much as allowed, reaches the target; 0 if MOST_REPETITIONS do not."""
+        miss: list[np.ndarray] = []
+        for at in range(0, len(group), 128):
+            rows, pairs = [], []
+            for i in group[at : at + 128]:
+                item = self.items[i].tolist()
+                own = len(rows)
+                rows.append(item)
+                for kind in range(3):
+                    edited = list(item)
+                    for _ in range(edits_allowed(len(item), self.share)):
+                        place = int(rng.integers(0, len(edited)))
+                        if kind == 0:
+                            edited[place] = int(rng.integers(1, 1 << 63))
+                        elif kind == 1 and len(edited) > 1:
+                            del edited[place]
+                        else:
+                            edited.insert(place, int(rng.integers(1, 1 << 63)))
+                    pairs.append((own, len(rows)))
+                    rows.append(edited)
+            ends = np.cumsum([len(r) for r in rows])
+            keys = embed(np.concatenate([np.array(r, np.uint64) for r in rows]), ends - [len(r) for r in rows], ends, size, coins, sampled)
+            a, b = np.array(pairs).T
+            miss.append(1 - (keys[:, a] == keys[:, b]).mean(axis=0))
+        every = np.concatenate(miss)
+        for reps in range(4, MOST_REPETITIONS + 1, 4):
+            if 1 - (every**reps).mean() >= target:
+                return reps
+        return 0
 
     def search(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, first word, last word + 1, edit distance) of each passage found; of passages of one item that overlap, the nearest."""
         if not self.classes:
             return
         h, offsets = plain_words(column)
-        if len(h) < self.q:
-            return
-        g = grams_of(h, self.q)
-        hit = np.flatnonzero(self.bits[g >> np.uint64(43)])
-        if not len(hit):
-            return
-        row = np.searchsorted(offsets, hit, "right") - 1
-        inside = hit + self.q <= offsets[row + 1]
-        hit, row = hit[inside], row[inside]
-        values = g[hit]
         candidates: set[tuple[int, int, int]] = set()
-        for c in self.classes:
-            place = np.minimum(np.searchsorted(c.gram, values), len(c.gram) - 1)
-            own = np.flatnonzero(c.gram[place] == values)
-            if not len(own):
+        for q, bits in self.bits.items():
+            if len(h) < q:
                 continue
-            place = place[own]
-            first = np.maximum(hit[own] - c.high[place], offsets[row[own]])
-            last = np.minimum(np.maximum(hit[own] - c.low[place], first), offsets[row[own] + 1] - 1)
-            count = last - first + 1
-            windows = np.repeat(first - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-            windows = np.unique(windows)
-            for at in range(0, len(windows), 4096):
-                part = windows[at : at + 4096]
-                doc = np.searchsorted(offsets, part, "right") - 1
-                keys = embed(h, part, offsets[doc + 1], c.size, c.coins, c.sampled)
-                for found, (sorted_keys, items) in zip(keys, c.keys, strict=True):
-                    a, b = np.searchsorted(sorted_keys, found, "left"), np.searchsorted(sorted_keys, found, "right")
-                    for w in np.flatnonzero(b > a):
-                        candidates.update((int(doc[w]), int(i), int(part[w])) for i in items[a[w] : b[w]])
+            g = grams_of(h, q)
+            hit = np.flatnonzero(bits[g >> np.uint64(43)])
+            row = np.searchsorted(offsets, hit, "right") - 1
+            inside = hit + q <= offsets[row + 1]
+            hit, row = hit[inside], row[inside]
+            for c in self.classes:
+                if c.q == q and len(hit):
+                    (self._walks if c.keys else self._places)(c, h, offsets, hit, row, g[hit], candidates)
         yield from self._verified(h, offsets, candidates)
 
+    def _places(self, c: LengthClass, h: np.ndarray, offsets: np.ndarray, hit: np.ndarray, row: np.ndarray, values: np.ndarray, candidates: set[tuple[int, int, int]]) -> None:
+        """Every place where a gram of an item stands."""
+        a, b = np.searchsorted(c.gram, values, "left"), np.searchsorted(c.gram, values, "right")
+        own = np.repeat(np.arange(len(hit)), b - a)
+        entry = np.arange(len(own)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + a[own]
+        start = np.maximum(hit[own] - c.low[entry], offsets[row[own]])
+        candidates.update(zip(row[own].tolist(), c.items[entry].tolist(), start.tolist(), strict=True))
+
+    def _walks(self, c: LengthClass, h: np.ndarray, offsets: np.ndarray, hit: np.ndarray, row: np.ndarray, values: np.ndarray, candidates: set[tuple[int, int, int]]) -> None:
+        """Windows near a gram of an item that share a key with an item. Equal windows walk once."""
+        place = np.minimum(np.searchsorted(c.gram, values), len(c.gram) - 1)
+        own = np.flatnonzero(c.gram[place] == values)
+        if not len(own):
+            return
+        place = place[own]
+        first = np.maximum(hit[own] - c.high[place], offsets[row[own]])
+        last = np.minimum(np.maximum(hit[own] - c.low[place], first), offsets[row[own] + 1] - 1)
+        # The windows first..last of all hits, each once.
+        opened = np.zeros(len(h) + 1, np.int64)
+        np.add.at(opened, first, 1)
+        np.add.at(opened, last + 1, -1)
+        windows = np.flatnonzero(np.cumsum(opened)[:-1] > 0)
+        doc = np.searchsorted(offsets, windows, "right") - 1
+        stop = np.minimum(windows + c.size, offsets[doc + 1])
+        _, one, same = np.unique(window_hashes(h, windows, stop), return_index=True, return_inverse=True)
+        order = np.argsort(same, kind="stable")
+        bounds = np.searchsorted(same[order], np.arange(len(one) + 1))
+        for at in range(0, len(one), 4096):
+            part = one[at : at + 4096]
+            keys = embed(h, windows[part], stop[part], c.size, c.coins, c.sampled)
+            for found, (sorted_keys, items) in zip(keys, c.keys, strict=True):
+                a, b = np.searchsorted(sorted_keys, found, "left"), np.searchsorted(sorted_keys, found, "right")
+                for w in np.flatnonzero(b > a):
+                    alike = order[bounds[at + w] : bounds[at + w + 1]]
+                    for i in items[a[w] : b[w]].tolist():
+                        candidates.update(zip(doc[alike].tolist(), [i] * len(alike), windows[alike].tolist(), strict=True))
+
     def _verified(self, h: np.ndarray, offsets: np.ndarray, candidates: set[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int]]:
         held: tuple[int, int, int, int, int] | None = None
         checked: tuple[int, int, int] | None = None
@@ -236,6 +284,17 @@ class Index:
             yield held
 
 
+def window_hashes(h: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of the words start..stop of each window."""
+    step = 0x9E3779B97F4A7C15
+    up, down = np.ones(len(h) + 1, np.uint64), np.ones(len(h) + 1, np.uint64)
+    up[1:], down[1:] = np.uint64(step), np.uint64(pow(step, -1, 1 << 64))
+    np.multiply.accumulate(up, out=up)
+    np.multiply.accumulate(down, out=down)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(h) * up[:-1])])
+    return mix64((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
+
+
 def nearest(pattern: list[int], text: list[int]) -> tuple[int, int]:
     """Least edit distance of the pattern to a part of the text, and where the first such part ends. Bit-parallel."""
     n = len(pattern)
@@ -276,12 +335,12 @@ def nearest_start(pattern: list[int], text: list[int], distance: int) -> int:
     return best if best is not None else min(n, len(text))
 
 
-def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> Iterator[list[tuple[int | None, str]]]:
-    """Items with a text, in blocks of about block_items: what a task holds does not grow with the benchmark."""
+def item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, str]]]:
+    """Items with a text, in blocks of about BLOCK_ITEMS and BLOCK_CHARS: what a task holds does not grow with the benchmark."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
-    n = items.count()
-    blocks = max(1, math.ceil(n / block_items))
-    for b in range(blocks if n else 0):
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length("text")).alias("chars")).first()
+    blocks = max(math.ceil(size.n / BLOCK_ITEMS), math.ceil((size.chars or 0) / BLOCK_CHARS))
+    for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
         yield sorted(((r.item_id, r.text) for r in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
 
@@ -294,9 +353,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE,
 
     One row per passage: doc_id, item_id, first_word, end_word (words of the
     document, end exclusive), edits, item_words. Null and empty texts hold
-    none; items under MIN_WORDS words are not searched; equal items are each
-    reported; a benchmark without items gives no rows. The documents are read
-    once for each BLOCK_ITEMS items, without a shuffle.
+    none; an item without words is in none, one of a single word is wherever
+    that word is; equal items are each reported; a benchmark without items gives
+    no rows. The documents are read once for each block of items, without a
+    shuffle.
     """
     out = None
     for items in item_blocks(benchmark):

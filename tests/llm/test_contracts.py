@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shutterlake.llm import html_extract, line_dedup, personal_data, queries, url_filter
+from shutterlake.llm import decontaminate, html_extract, line_dedup, personal_data, queries, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -252,3 +252,64 @@ def test_url_model_odd_rows(spark):
     got = url_filter.judge(df, ()).collect()
     assert len(got) == len(rows) and all(r.verdict == "allow" and r.rule is None for r in got)
     assert sorted(r.host for r in got) == ["", "", "", "a.b", "h.example.com", "h.example.com", "É.example"]
+
+
+# --- op4 ----------------------------------------------------------------------
+
+
+def least_distance(item, words):
+    """Least edit distance of the item to any part of the words, by the plain table."""
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(item, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j - 1] + (x != y), row[j] + 1, new[j - 1] + 1))
+        row = new
+    return min(row)
+
+
+def test_leaks_against_exhaustive_edit_distance(spark):
+    """Items of 1 to 300 words, edited more and less than allowed, against the distance to every part of every text."""
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    sizes = [1, 2, 3, 4, 5, 5, 6, 7, 9, 12, 20, 33, 60, 110, 220, 300]
+    items = [list(rng.choice(vocabulary, n)) if n > 1 else ["rareword"] for n in sizes]
+    docs = []
+    for d in range(96):
+        part = list(items[d % len(items)])
+        for _ in range(int(rng.integers(0, int(0.2 * len(part)) + 3))):
+            at = int(rng.integers(0, len(part) + 1))
+            part[at : at + int(rng.integers(0, 2))] = [f"new{at}"] * int(rng.integers(0, 2))
+        words = list(rng.choice(vocabulary, 60))
+        words[30:30] = part
+        docs.append((d, " ".join(words)))
+    want = {(d, i) for d, t in docs for i, item in enumerate(items) if least_distance(item, t.split()) <= decontaminate.edits_allowed(len(item))}
+    rows = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    print(f"leaks: {len(got & want)} of {len(want)} found, {len(got - want)} others")
+    assert got <= want and len(got & want) >= 0.98 * len(want)
+    short = {x for x in want if len(items[x[1]]) < decontaminate.MIN_WORDS}
+    assert short and short <= got
+    texts = dict(docs)
+    for r in rows:
+        assert r.edits == least_distance(items[r.item_id], texts[r.doc_id].split()[r.first_word : r.end_word])
+
+
+def test_leaks_query_finds_every_exact_item(spark, texts):
+    plain = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub(r"[!-/:-@\[-`{-~]", "", t.lower()))
+    items = {r.item_id: plain(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    want = set()
+    for d, t in texts.items():
+        own = f" {' '.join(plain(t))} "
+        want |= {(d, i) for i, w in items.items() if f" {' '.join(w)} " in own}
+    got = {(r.doc_id, r.item_id) for r in queries.op4_decontaminate(spark, SF).collect()}
+    assert len(want) > 5 and want <= got
+
+
+def test_leaks_of_a_repeated_gram_take_little_time():
+    start = time.time()
+    index = decontaminate.Index([(1, "one two " * 100 + "three four five six seven"), (2, "again " * 50)])
+    import pyarrow as pa
+
+    found = list(index.search(pa.array(["one two " * 30_000, "again " * 30_000])))
+    assert {(row, i) for row, i, *_ in found} == {(0, 0), (1, 1)} and time.time() - start < 60
