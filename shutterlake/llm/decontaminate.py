@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import grams_of, mix64, slices, text_buffer, words
 
 #: Items of fewer words have no walk.
-MIN_WORDS, EDIT_SHARE, TARGET = 6, 0.2, 0.98
+MIN_WORDS, EDIT_SHARE, TARGET = 6, 0.2, 0.99
 SAMPLES, MOST_REPETITIONS = 4, 256
 #: Items that a task holds at once (about 100 MB): the documents are read once for each such block.
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 8_000_000

@@ -3,9 +3,15 @@
 Texts that are equal share one class, so copies cost one row. Each class has
 one label per tree: the low bits of `depth` MinHash values. Sorting the labels
 of a tree gives its prefix trie; two classes are candidates if their labels in
-any tree share a prefix. The prefix is shortened from the whole label until a
-pair at the threshold is found with the target probability. Candidates are
-verified by the exact Jaccard coefficient of their shingle sets.
+any tree share a prefix, and all candidates are verified by the exact Jaccard
+coefficient of their shingle sets.
+
+The prefix starts as the whole label. Each link found has a similarity, and with
+it the probability that prefixes of this length find such a link; the links
+found, each over its probability, estimate how many there are. Prefixes are
+shortened until the links found reach the target share of that estimate, or the
+length at which even a pair just at the threshold is found with the target
+probability. A shorter prefix verifies only what the longer one did not.
 
 Large groups: sorted runs are linked as stars, components of the stars are
 cut into blocks of BLOCK classes, and each pair of blocks is verified in one
@@ -15,6 +21,7 @@ task, which returns sums and a spanning forest, never the pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,17 +31,34 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import Scratch, mix64, shingles, slices, text_buffer, words
 from shutterlake.llm.components import connected_components, contract
 
-TREES, DEPTH, TARGET = 32, 8, 0.999
+TREES, DEPTH, TARGET = 32, 10, 0.995
 BLOCK = 512
 
 
 def choose_depth(threshold: float, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> int:
     """The longest prefix at which a pair at the threshold shares one in some tree with probability target or more."""
-    while depth > 1 and 1 - (1 - threshold**depth) ** trees < target:
+    while depth > 1 and found_share(threshold, depth, trees) < target:
         depth -= 1
     return depth
 
 
+def found_share(similarity: np.ndarray | float, prefix: int, trees: int = TREES) -> np.ndarray | float:
+    """The probability that a pair shares a prefix of this length in some tree."""
+    return 1 - (1 - similarity**prefix) ** trees
+
+
+def next_prefix(links: dict[int, int], prefix: int, least: int, target: float, trees: int = TREES) -> int | None:
+    """The longest shorter prefix, not below the least, that is expected to reach the target; null if this one does. links: how many were found, by percent of similarity."""
+    if prefix <= least or not links:
+        return None
+    at = np.array(sorted(links)) / 100 + 0.005
+    true = np.array([links[k] for k in sorted(links)]) / found_share(np.minimum(at, 1.0), prefix, trees)
+    reached = lambda p: (true * found_share(np.minimum(at, 1.0), p, trees)).sum() / true.sum()
+    if reached(prefix) >= target:
+        return None
+    return next((p for p in range(prefix - 1, least, -1) if reached(p) >= target), least)
+
+
 def signatures(hashes: np.ndarray, offsets: np.ndarray, values: int) -> np.ndarray:
     """MinHash values of each text, 16 bits each: texts x values. Texts without shingles have zeros."""
     h = (hashes >> np.uint64(32)).astype(np.uint32)
@@ -73,49 +97,60 @@ def _sign(trees: int, depth: int):
     return run
 
 
-def _stars(prefix_bytes: int):
-    """Over sorted (tree, label, ck): an edge from each class of a run to the run's first, and the first and last run of the partition."""
+def _stars(depth: int, least: int):
+    """Over sorted (tree, label, ck): an edge from each class that shares `least` values or more with the one before it.
+
+    With the number of shared values as its prefix length, the edge leads to the
+    first class of the run that shares so many; the edges of one length and all
+    longer ones join just the runs of that length. For each length the first and
+    last run of the partition are given too, with their prefix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["tree", "prefix", "a", "b"]
-        types = pa.schema([("tree", pa.int32()), ("prefix", pa.binary()), ("a", pa.binary()), ("b", pa.binary())])
-        last: tuple | None = None
-        opening = True
+        types = pa.schema([("tree", pa.int32()), ("prefix", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("length", pa.int32())])
+        lengths = range(least, depth + 1)
+        heads: dict[int, bytes] = {}
+        last: tuple[int, np.ndarray] | None = None
+
+        def border(tree: int, label: np.ndarray, firsts: dict[int, bytes]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([{"tree": tree, "prefix": label[:d].tobytes(), "a": firsts[d], "b": None, "length": d} for d in lengths], schema=types)
+
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             tree = np.asarray(batch.column(0), np.int64)
-            prefix = batch.column(1).to_pylist()
-            prefix = np.array([p[:prefix_bytes] for p in prefix], dtype=f"S{prefix_bytes}") if prefix else np.zeros(0, "S1")
-            new = np.ones(len(tree), bool)
-            new[1:] = (tree[1:] != tree[:-1]) | (prefix[1:] != prefix[:-1])
+            label = text_buffer(batch.column(1))[0].view(">u2").reshape(n, depth)
             ck = batch.column(2)
-            head = None
-            if last is not None and last[0] == tree[0] and last[1] == prefix[0]:
-                new[0], head = False, last[2]
-            start = np.maximum.accumulate(np.where(new, np.arange(len(tree)), -1))
-            rows = np.flatnonzero(~new)
-            a = ck.take(pa.array(rows)).to_pylist()
-            heads = start[rows]
-            firsts = [head if k < 0 else None for k in heads]
-            b = ck.take(pa.array(np.maximum(heads, 0))).to_pylist()
-            b = [f if f is not None else x for f, x in zip(firsts, b, strict=True)]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int32()), pa.nulls(len(a), pa.binary()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=types)
-            if opening:
-                opening = False
-                first = (int(tree[0]), batch.column(1)[0].as_py()[:prefix_bytes], ck[0].as_py())
-                yield pa.RecordBatch.from_pylist([dict(zip(names, (*first, None), strict=True))], schema=types)
-            s = int(start[-1])
-            last = (tree[-1], prefix[-1], ck[s].as_py() if s >= 0 else head, batch.column(1)[len(tree) - 1].as_py()[:prefix_bytes])
+            same = np.zeros((n, depth), bool)
+            same[1:] = (label[1:] == label[:-1]) & (tree[1:] == tree[:-1])[:, None]
+            if last is None:
+                yield border(int(tree[0]), label[0], dict.fromkeys(lengths, ck[0].as_py()))
+            else:
+                same[0] = (label[0] == last[1]) & (tree[0] == last[0])
+            shared = np.cumprod(same, axis=1).sum(axis=1)
+            rows = np.flatnonzero(shared >= least)
+            head = np.full(n, -1)
+            before = dict(heads)
+            for d in lengths:
+                start = np.maximum.accumulate(np.where(shared < d, np.arange(n), -1))
+                own = shared == d
+                head[own] = start[own]
+                if start[-1] >= 0:
+                    heads[d] = ck[int(start[-1])].as_py()
+            if len(rows):
+                b = ck.take(pa.array(np.maximum(head[rows], 0))).to_pylist()
+                b = [before[int(shared[r])] if head[r] < 0 else x for r, x in zip(rows, b, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary()), ck.take(pa.array(rows)), pa.array(b, pa.binary()), pa.array(shared[rows].astype(np.int32))], schema=types)
+            last = (int(tree[-1]), label[-1].copy())
         if last is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(names, (int(last[0]), last[3], last[2], None), strict=True))], schema=types)
+            yield border(*last, heads)
 
     return run
 
 
-def _shingle_sets(trees: int, depth: int, prefix: int):
-    """text -> its sorted distinct shingles and the hash of each tree's prefix, as bytes."""
+def _shingle_sets(trees: int, depth: int, prefix: int, done: int | None):
+    """text -> its sorted distinct shingles and the hash of each tree's prefix, and of that which was verified before, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["ck", "comp", "blocks", "sets", "keys"]
@@ -123,7 +158,8 @@ def _shingle_sets(trees: int, depth: int, prefix: int):
             for part in slices(batch, "text"):
                 h, _, _, offsets = words(*text_buffer(part.column(3)))
                 s, s_offsets = shingles(h, offsets)
-                keys = tree_keys(signatures(s, s_offsets, trees * depth), trees, depth, prefix)
+                sig = signatures(s, s_offsets, trees * depth)
+                keys = np.hstack([tree_keys(sig, trees, depth, p) for p in (prefix, done) if p])
                 sets = [np.unique(s[a:b]).tobytes() for a, b in zip(s_offsets[:-1], s_offsets[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], names=names)
 
@@ -131,6 +167,7 @@ def _shingle_sets(trees: int, depth: int, prefix: int):
 
 
 def tree_keys(sig: np.ndarray, trees: int, depth: int, prefix: int) -> np.ndarray:
+    """A 32-bit hash of the first `prefix` values of each tree: texts x trees."""
     parts = sig.reshape(len(sig), trees, depth)[:, :, :prefix].astype(np.uint64)
     total = np.zeros((len(sig), trees), np.uint64)
     for k in range(prefix):
@@ -138,11 +175,12 @@ def tree_keys(sig: np.ndarray, trees: int, depth: int, prefix: int) -> np.ndarra
     return (total >> np.uint64(32)).astype(np.uint32)
 
 
-def verify_block(cks: list[bytes], side: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Links of each class in the block, and a spanning forest of them.
+def verify_block(cks: list[bytes], side: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, trees: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+    """Links of each class in the block, a spanning forest of them, and their number by percent of similarity.
 
     Pairs are within the block if all have one side, else across the two sides.
-    A pair is a candidate if it shares a prefix in any tree.
+    A pair is a candidate if it shares a prefix in any tree, but for those that
+    share one of the longer prefixes, verified before, whose keys come behind.
     """
     n, links = len(cks), np.zeros(len(cks), np.int64)
     size = np.array([len(s) for s in sets], np.int64)
@@ -155,6 +193,7 @@ def verify_block(cks: list[bytes], side: np.ndarray, sets: list[np.ndarray], key
         return x
 
     forest: list[tuple[int, int]] = []
+    percents = np.zeros(101, np.int64)
     two = bool((side != side[0]).any())
     for i in range(n):
         others = np.arange(i + 1, n)
@@ -162,34 +201,42 @@ def verify_block(cks: list[bytes], side: np.ndarray, sets: list[np.ndarray], key
             others = others[side[others] != side[i]]
         least, most = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
         others = others[least >= threshold * most - 1e-9]
-        others = others[(keys[others] == keys[i]).any(axis=1)] if len(others) else others
+        equal = keys[others] == keys[i]
+        others = others[equal[:, :trees].any(axis=1) & ~equal[:, trees:].any(axis=1)]
         if not len(others) or not size[i]:
             continue
         joined = np.concatenate([sets[j] for j in others])
         place = np.minimum(np.searchsorted(sets[i], joined), size[i] - 1)
         both = np.add.reduceat((sets[i][place] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(size[others])[:-1]]))
         union = size[others] + size[i] - both
-        for j in others[both >= threshold * union - 1e-9]:
+        linked = both >= threshold * union - 1e-9
+        percents += np.bincount(100 * both[linked] // union[linked], minlength=101)
+        for j in others[linked]:
             links[i] += 1
             links[j] += 1
             x, y = find(i), find(int(j))
             if x != y:
                 root[x] = y
                 forest.append((i, int(j)))
-    return links, forest
+    return links, forest, percents
 
 
 def _verify(trees: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64())])
+        types = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("links", pa.int64()), ("percent", pa.int32())])
         held: list[tuple] = []
         group: tuple | None = None
 
         def result() -> pa.RecordBatch:
             cks = [r[0] for r in held]
-            links, forest = verify_block(cks, np.array([r[1] for r in held]), [np.frombuffer(r[2], np.uint64) for r in held], np.array([np.frombuffer(r[3], np.uint32) for r in held]).reshape(-1, trees), threshold)
-            some = np.flatnonzero(links)
-            return pa.RecordBatch.from_arrays([pa.array([cks[i] for i in some] + [cks[i] for i, _ in forest], pa.binary()), pa.array([None] * len(some) + [cks[j] for _, j in forest], pa.binary()), pa.array([*links[some].tolist(), *[0] * len(forest)], pa.int64())], schema=types)
+            keys = np.array([np.frombuffer(r[3], np.uint32) for r in held]).reshape(len(held), -1)
+            links, forest, percents = verify_block(cks, np.array([r[1] for r in held]), [np.frombuffer(r[2], np.uint64) for r in held], keys, trees, threshold)
+            some, alike = np.flatnonzero(links), np.flatnonzero(percents)
+            a = [*[cks[i] for i in some], *[cks[i] for i, _ in forest], *[None] * len(alike)]
+            b = [*[None] * len(some), *[cks[j] for _, j in forest], *[None] * len(alike)]
+            n = [*links[some].tolist(), *[0] * len(forest), *percents[alike].tolist()]
+            percent = [*[None] * (len(some) + len(forest)), *alike.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(n, pa.int64()), pa.array(percent, pa.int32())], schema=types)
 
         for batch in batches:
             for comp, bi, bj, side, ck, sets, keys in zip(*[c.to_pylist() for c in batch.columns], strict=True):
@@ -223,9 +270,8 @@ def jaccard_links(docs: DataFrame, threshold: float = 0.8, target: float = TARGE
 
 def _classes(docs: DataFrame, threshold: float, target: float = TARGET, trees: int = TREES, depth: int = DEPTH, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """doc_id, ck of each row, and ck, grp, least (the least doc_id), n_links, n_copies of each text."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    prefix = choose_depth(threshold, target, trees, depth)
+    scratch = Scratch(docs.sparkSession)
+    least = choose_depth(threshold, target, trees, depth)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("ck"), text.alias("text"))
     signed = scratch.write(base.mapInArrow(_sign(trees, depth), "doc_id long, ck binary, sig binary, filled boolean"), "signed")
@@ -233,12 +279,35 @@ def _classes(docs: DataFrame, threshold: float, target: float = TARGET, trees: i
     classes = signed.where("filled").groupBy("ck").agg(F.first("sig").alias("sig"))
     labels = classes.select("ck", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sig").select("tree", F.substring(F.col("sig"), F.col("tree") * (2 * depth) + 1, F.lit(2 * depth)).alias("label"), "ck")
     labels = scratch.write(labels, "labels")
-    runs = scratch.write(labels.repartitionByRange("tree", "label", "ck").sortWithinPartitions("tree", "label", "ck").mapInArrow(_stars(2 * prefix), "tree int, prefix binary, a binary, b binary"), "runs")
+    runs = scratch.write(labels.repartitionByRange("tree", "label", "ck").sortWithinPartitions("tree", "label", "ck").mapInArrow(_stars(depth, least), "tree int, prefix binary, a binary, b binary, length int"), "runs")
     scratch.drop(labels)
-    ends = runs.where(F.col("b").isNull()).select("tree", "prefix", "a").distinct()
+
+    prefix, done = depth, None
+    rounds: list[DataFrame] = []
+    while True:
+        rounds.append(_verified_links(base, signed, runs, scratch, prefix, done, trees, depth, threshold, block))
+        counted = rounds[0] if len(rounds) == 1 else reduce(DataFrame.unionByName, rounds)
+        percents = counted.where(F.col("percent").isNotNull()).groupBy("percent").agg(F.sum("links").alias("n")).collect()
+        shorter = next_prefix({r.percent: r.n for r in percents}, prefix, least, target, trees)
+        if shorter is None:
+            break
+        prefix, done = shorter, prefix
+    scratch.drop(runs)
+
+    found = counted.where(F.col("percent").isNull())
+    links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("ck")).agg(F.sum("links").alias("n_links"))
+    groups = connected_components(found.where(F.col("b").isNotNull()), scratch).select(F.col("node").alias("ck"), F.col("label").alias("grp"))
+    copies = signed.groupBy("ck").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
+    classed = copies.join(groups, "ck", "left").join(links, "ck", "left").withColumn("grp", F.coalesce("grp", "ck"))
+    return signed, classed.select("ck", "grp", "least", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+
+
+def _verified_links(base: DataFrame, signed: DataFrame, runs: DataFrame, scratch: Scratch, prefix: int, done: int | None, trees: int, depth: int, threshold: float, block: int) -> DataFrame:
+    """a, b, links, percent: sums of links (b null), spanning forests (a, b), and links by percent of similarity (percent not null) of the pairs that share a prefix of this length and none of the length done before."""
+    ends = runs.where(F.col("b").isNull() & (F.col("length") == prefix)).select("tree", "prefix", "a").distinct()
     across = ends.join(ends.groupBy("tree", "prefix").agg(F.min("a").alias("b")), ["tree", "prefix"]).select("a", "b")
     # A class stands in at most one run of each tree, so it has few stars.
-    near = connected_components(contract(runs.where(F.col("b").isNotNull()).select("a", "b").unionByName(across)), scratch)
+    near = connected_components(contract(runs.where(F.col("b").isNotNull() & (F.col("length") >= prefix)).select("a", "b").unionByName(across)), scratch)
 
     near = near.select(F.col("node").alias("ck"), F.col("label").alias("comp"))
     sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
@@ -250,18 +319,11 @@ def _classes(docs: DataFrame, threshold: float, target: float = TARGET, trees: i
     if signed.where(F.col("doc_id").isNull()).limit(1).count():
         nameless = base.where(F.col("doc_id").isNull()).dropDuplicates(["ck"]).drop("doc_id")
         again = again.unionByName(nameless.join(readers.where(F.col("doc_id").isNull()), "ck").select("ck", "comp", "blocks", "text"))
-    sets = again.mapInArrow(_shingle_sets(trees, depth, prefix), "ck binary, comp binary, blocks int, sets binary, keys binary")
+    sets = again.mapInArrow(_shingle_sets(trees, depth, prefix, done), "ck binary, comp binary, blocks int, sets binary, keys binary")
     own = F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int")
     spread = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.col("own").alias("side"), "ck", "sets", "keys")
-    found = scratch.write(spread.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "ck").mapInArrow(_verify(trees, threshold), "a binary, b binary, links long"), "found")
-    scratch.drop(runs)
-
-    links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("ck")).agg(F.sum("links").alias("n_links"))
-    groups = connected_components(found.where(F.col("b").isNotNull()), scratch).select(F.col("node").alias("ck"), F.col("label").alias("grp"))
-    copies = signed.groupBy("ck").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"))
-    classed = copies.join(groups, "ck", "left").join(links, "ck", "left").withColumn("grp", F.coalesce("grp", "ck"))
-    return signed, classed.select("ck", "grp", "least", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
+    return scratch.write(spread.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "ck").mapInArrow(_verify(trees, threshold), "a binary, b binary, links long, percent int"), "found")
 
 
 def keep_one(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

@@ -10,7 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from shutterlake.llm import decontaminate, html_extract, line_dedup, personal_data, queries, url_filter
+from shutterlake.llm import decontaminate, html_extract, line_dedup, ngram_join, personal_data, queries, url_filter
 
 SF = "/root/testdata/sf0.01"
 
@@ -313,3 +313,98 @@ def test_leaks_of_a_repeated_gram_take_little_time():
 
     found = list(index.search(pa.array(["one two " * 30_000, "again " * 30_000])))
     assert {(row, i) for row, i, *_ in found} == {(0, 0), (1, 1)} and time.time() - start < 60
+
+
+# --- op10 ---------------------------------------------------------------------
+
+
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, min(len(words), 1)))}
+
+
+def all_links(rows, threshold=0.8):
+    """Pairs of different texts of that similarity, by comparing all pairs that share a shingle."""
+    sets = {t: shingle_set(t) for t in {t or "" for _, t in rows}}
+    where = {}
+    for t, s in sets.items():
+        for g in s:
+            where.setdefault(g, []).append(t)
+    both = Counter()
+    for own in where.values():
+        both.update((a, b) for i, a in enumerate(own) for b in own[i + 1 :])
+    return {frozenset(p) for p, n in both.items() if n >= threshold * (len(sets[p[0]]) + len(sets[p[1]]) - n) - 1e-9}
+
+
+def classes_by_hand(rows, links):
+    root = {t or "": t or "" for _, t in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in map(tuple, links):
+        root[find(a)] = find(b)
+    least, degree = {}, Counter(t for p in links for t in p)
+    for i, t in rows:
+        k = find(t or "")
+        if i is not None:
+            least[k] = min(i, least.get(k, i))
+    copies = Counter(t or "" for _, t in rows)
+    return Counter((i, least.get(find(t or "")), degree[t or ""], copies[t or ""]) for i, t in rows)
+
+
+def test_jaccard_links_of_a_thousand_documents(spark, texts):
+    """Documents with planted copies of all similarities, null ids and ids that stand on different texts."""
+    rng = np.random.default_rng(21)
+    rows = [(i if i % 17 else None, t) for i, t in texts.items()]
+    for k, t in enumerate([t for t in texts.values() if 150 < len(t.split()) < 400][:120]):
+        words = t.split()
+        for _ in range(1 + k % 12):
+            words[int(rng.integers(0, len(words)))] = f"edit{k}"
+        rows.append(([None, 5000 + k, k // 2][k % 3], " ".join(words)))
+    links = all_links(rows)
+    got = Counter((r.doc_id, r.class_id, r.n_links, r.n_copies) for r in ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = classes_by_hand(rows, links)
+    missed = sum((want - got).values())
+    recall = sum(i[2] * n for i, n in got.items()) / max(sum(i[2] * n for i, n in want.items()), 1)
+    print(f"links of {len(rows)} rows: {len(links)}, rows that differ {missed}, recall of links {recall:.4f}")
+    assert len(links) > 50 and recall >= 0.98 and missed <= 0.01 * len(rows)
+
+
+def test_jaccard_query_recall(spark, texts):
+    rows = list(texts.items())
+    want = classes_by_hand(rows, all_links(rows))
+    got = Counter(tuple(r) for r in queries.op10_ngram_jaccard(spark, SF).collect())
+    print(f"op10 on {len(rows)} documents: {sum((want - got).values())} rows differ")
+    assert sum((want - got).values()) <= 2
+
+
+def test_prefixes_are_shortened_until_the_target():
+    near, far = {99: 1000}, {80: 1000}
+    assert ngram_join.next_prefix(near, 10, 7, 0.995) is None
+    assert ngram_join.next_prefix({}, 10, 7, 0.995) is None and ngram_join.next_prefix(far, 7, 7, 0.995) is None
+    assert ngram_join.next_prefix(far, 10, 7, 0.995) == 8 and ngram_join.next_prefix(far, 10, 7, 0.9999) == 7
+    assert ngram_join.next_prefix({80: 10, 99: 1000}, 10, 7, 0.995) is None
+
+
+def test_jaccard_links_after_shortened_prefixes(spark, monkeypatch):
+    """Rounds of shorter prefixes count each link once and lose none."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(120)]
+        for c in range(40):
+            words = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                words[int(rng.integers(0, 120))] = f"c{c}"
+            rows.append((100 * g + c, " ".join(words)))
+    lengths = iter([9, 8, 7, None])
+    monkeypatch.setattr(ngram_join, "next_prefix", lambda *a: next(lengths))
+    got = Counter(tuple(r) for r in ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect())
+    links = all_links(rows)
+    want = classes_by_hand(rows, links)
+    found, there = (sum(r[2] * n for r, n in x.items()) for x in (got, want))
+    assert len(links) > 1000 and 0.99 * there <= found <= there
+    assert Counter(r[:2] for r in want.elements()) == Counter(r[:2] for r in got.elements())
