@@ -55,7 +55,7 @@ OUTSIDE, INSIDE, WORDS = 1, 2, 4
 BROADCAST_HASHES, HOT_PAGES = 1_000_000, 10_000
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     never: bool
@@ -92,10 +92,14 @@ def parse(source: str) -> Page:
 
     def close(tag: str, stop: frozenset[str] = frozenset()) -> None:
         """Closes the innermost element of this tag, and what is open in it, unless one of stop is open in it. Each element is closed once, so a page takes linear time."""
-        if where[tag] and all(not where[t] or where[t][-1] <= where[tag][-1] for t in stop):
-            last = where[tag][-1]
-            while len(stack) > last:
-                where[nodes[stack.pop()].tag].pop()
+        if not where[tag]:
+            return
+        last = where[tag][-1]
+        for t in stop:
+            if where[t] and where[t][-1] > last:
+                return
+        while len(stack) > last:
+            where[nodes[stack.pop()].tag].pop()
 
     n, last_end, form = len(source), source.rfind(">"), TAG
     while at < n:
@@ -128,7 +132,7 @@ def parse(source: str) -> Page:
         if tag in ("br", "wbr"):
             add("\n" if tag == "br" else "")
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and where["p"]:
             close("p", frozenset({"button", "table", "td", "th"}))
         if tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
             close(tag, frozenset({"ul", "ol", "dl", "menu", "select", "table"}))
@@ -155,26 +159,44 @@ def parse(source: str) -> Page:
     return Page(nodes, texts, owners, starts)
 
 
-def subtree_hashes(page: Page) -> np.ndarray:
-    """A 64-bit hash of each element's tags and texts, white space folded; 0 for elements without text."""
-    hashers = [xxhash.xxh64(n.tag) for n in page.nodes]
-    filled = [False] * len(page.nodes)
+def subtree_hashes(page: Page, wanted: list[bool] | None = None) -> np.ndarray:
+    """A 64-bit hash of each element's tags and texts, white space folded; 0 for elements without text, and for those not wanted (which hold no wanted one)."""
+    parts: list[list[bytes] | None] = [None] * len(page.nodes)
+
+    def add(k: int, part: bytes) -> None:
+        own = parts[k]
+        if own is None:
+            parts[k] = [part]
+        else:
+            own.append(part)
+
     for text, owner in zip(page.texts, page.owners, strict=True):
-        bare = SPACE.sub(" ", text).strip()
-        if bare:
-            hashers[owner].update(b"\x01" + bare.encode("utf-8", "surrogatepass"))
-            filled[owner] = True
+        if wanted is None or wanted[owner]:
+            bare = " ".join(text.split())
+            if bare:
+                add(owner, b"\x01" + bare.encode("utf-8", "surrogatepass"))
     out = np.zeros(len(page.nodes), np.int64)
     for k in range(len(page.nodes) - 1, 0, -1):
-        if filled[k]:
-            digest = hashers[k].digest()
+        own = parts[k]
+        if own is not None:
+            node = page.nodes[k]
+            digest = xxhash.xxh64_digest(node.tag.encode("utf-8", "surrogatepass") + b"".join(own))
             out[k] = int.from_bytes(digest, "big", signed=True)
-            parent = page.nodes[k].parent
-            hashers[parent].update(digest)
-            filled[parent] = True
+            add(node.parent, digest)
     return out
 
 
+def has_core(page: Page) -> bool:
+    """Whether an article or main element holds text that is not dropped by its elements' roles."""
+    nodes = page.nodes
+    return any(nodes[o].core and not nodes[o].never and t.strip() for t, o in zip(page.texts, page.owners, strict=True))
+
+
+def live_hashes(page: Page) -> np.ndarray:
+    """subtree_hashes of the elements that templates can still delete: those of the article, or all if there is none."""
+    return subtree_hashes(page, [n.core for n in page.nodes] if has_core(page) else None)
+
+
 def lengths(page: Page) -> np.ndarray:
     """Code points of text below each element."""
     out = np.zeros(len(page.nodes), np.int64)
@@ -198,37 +220,38 @@ def blocks_of_their_own(page: Page) -> np.ndarray:
     return starts[first] & starts[last + 1]
 
 
-def text_of(page: Page, marks: dict[int, int]) -> str:
+def text_of(page: Page, marks: dict[int, int], hashes: np.ndarray | None = None) -> str:
     """Blocks of article text, decoded, white space folded, joined by an empty line.
 
     marks: what the host's templates may delete (OUTSIDE, INSIDE, WORDS), by
     subtree hash. If the page has an article or main element with text, only
     their text counts, and a template goes if it is less than half of the
-    article; elsewhere if it is less than half of the page.
+    article; elsewhere if it is less than half of the page. hashes: live_hashes,
+    if known.
     """
     nodes = page.nodes
-    runs = list(zip(page.texts, page.owners, page.starts, strict=True))
-    core = any(nodes[o].core and not nodes[o].never and t.strip() for t, o, _ in runs)
-    dead = np.array([n.never or core and not n.core for n in nodes])
+    core = has_core(page)
+    dead = [n.never or core and not n.core for n in nodes]
     if marks:
-        size, top, apart = lengths(page), np.zeros(len(nodes), np.int64), blocks_of_their_own(page)
-        for k, (node, h) in enumerate(zip(nodes, subtree_hashes(page).tolist(), strict=True)):
-            if core and node.core:
-                top[k] = top[node.parent] if nodes[node.parent].core else k
-            if not core:
-                bit = OUTSIDE
-            elif node.tag in APART:
-                bit = WORDS if apart[k] else 0
-            else:
-                bit = 0 if node.tag in WORDING else INSIDE
-            recurs = bool(h) and bool(marks.get(h, 0) & bit)
-            dead[k] |= recurs and 2 * size[k] < size[top[k]]
+        found = (live_hashes(page) if hashes is None else hashes).tolist()
+        hit = [k for k, h in enumerate(found) if h and not dead[k] and h in marks]
+        if hit:
+            size, apart = lengths(page), blocks_of_their_own(page)
+            top = [0] * len(nodes)
+            if core:
+                for k, node in enumerate(nodes):
+                    if node.core:
+                        top[k] = top[node.parent] if nodes[node.parent].core else k
+            for k in hit:
+                tag = nodes[k].tag
+                bit = OUTSIDE if not core else (WORDS if apart[k] else 0) if tag in APART else 0 if tag in WORDING else INSIDE
+                dead[k] = bool(marks[found[k]] & bit) and 2 * size[k] < size[top[k]]
     for k, node in enumerate(nodes):
         if node.parent >= 0 and dead[node.parent] and not (core and node.core and not nodes[node.parent].core):
             dead[k] = True
     blocks: list[list[str]] = []
     fresh = True
-    for text, owner, start in runs:
+    for text, owner, start in zip(page.texts, page.owners, page.starts, strict=True):
         fresh |= start
         if dead[owner]:
             continue
@@ -295,14 +318,14 @@ def _texts(carry: int, known: tuple[np.ndarray, np.ndarray] | None):
                 else:
                     keys, every = known
                     for page, host in zip(pages, part.column(carry).to_pylist(), strict=True):
-                        marks = {}
+                        marks, h = {}, None
                         if host and len(keys):
-                            h = subtree_hashes(page)
+                            h = live_hashes(page)
                             mine = mix64(h.view(np.uint64) ^ np.uint64(_host_key(host)))
                             place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                             hit = np.flatnonzero((keys[place] == mine) & (h != 0))
                             marks = dict(zip(h[hit].tolist(), every[place[hit]].tolist(), strict=True))
-                        texts.append(text_of(page, marks))
+                        texts.append(text_of(page, marks, h))
                 names = part.schema.names[:carry]
                 yield pa.RecordBatch.from_arrays([*part.columns[:carry], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
