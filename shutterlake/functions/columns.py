@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -62,6 +62,21 @@ def exif_time(text: Column) -> Column:
     return F.try_to_timestamp(F.substring(text, 1, 19), F.lit("yyyy:MM:dd HH:mm:ss"))
 
 
+def cache_key(*parts: str) -> Column:
+    """Twelve characters that stand for the given columns."""
+    return F.left(F.md5(F.concat_ws("|", *parts)), F.lit(12))
+
+
+def is_key(text: Column) -> Column:
+    """Whether the text can be an album's key: 6 to 64 letters, digits, - and _; false for null."""
+    return F.coalesce(text.rlike(r"^[a-zA-Z0-9_-]{6,64}$"), F.lit(False))
+
+
+def one_of(text: Column, words: tuple[str, ...]) -> Column:
+    """The word that the text is in any case, else null."""
+    return F.when(F.upper(text).isin(*words), F.upper(text))
+
+
 # --- vectors ----------------------------------------------------------------
 
 
@@ -125,3 +140,27 @@ def commission(amount: Column, rate: Column) -> Column:
 def json_or(text: Column, path: str, kind: str, default: object) -> Column:
     """A field of a JSON text; the default where the text is null or malformed, or the field is missing or of another type."""
     return F.coalesce(F.get_json_object(text, path).try_cast(kind), F.lit(default).cast(kind))
+
+
+# --- colour -----------------------------------------------------------------
+
+
+def hue_saturation(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
+    """Hue in degrees and saturation from 0 to 255 of 8-bit colours; both 0 for greys."""
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    span = F.nullif(high - low, F.lit(0))
+    hue = F.when(high == r, F.pmod((g - b) * 60.0 / span, F.lit(360.0))).when(high == g, (b - r) * 60.0 / span + 120).otherwise((r - g) * 60.0 / span + 240)
+    return F.coalesce(hue, F.lit(0.0)), F.coalesce(255.0 * (high - low) / F.nullif(high, F.lit(0)), F.lit(0.0))
+
+
+def hsv_histogram(pixels: DataFrame, key: str, hues: int = 8, saturations: int = 4) -> DataFrame:
+    """pixels(key, r, g, b) -> key, bin, share: each bin's count from 0 (the least) to 1 (the most). Pixels are counted by bin on the map side."""
+    hue, saturation = hue_saturation(F.col("r"), F.col("g"), F.col("b"))
+    row, column = F.least(F.floor(hue / (360 / hues)), F.lit(hues - 1)), F.least(F.floor(saturation / (256 / saturations)), F.lit(saturations - 1))
+    counts = pixels.groupBy(key, (row * saturations + column).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    size = hues * saturations
+    dense = counts.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("m"))
+    full = dense.select(key, F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0).cast("long"))).alias("n"))
+    low, high = F.array_min("n"), F.array_max("n")
+    rows = full.select(key, low.alias("low"), high.alias("high"), F.posexplode("n").alias("bin", "n"))
+    return rows.select(key, "bin", F.round(F.when(F.col("high") > F.col("low"), (F.col("n") - F.col("low")) / (F.col("high") - F.col("low"))).otherwise(0.0), 6).alias("share"))

@@ -96,6 +96,8 @@ COUPON_EXPIRED = "This coupon has expired"
 COUPON_USED_UP = "This coupon has reached its usage limit"
 COUPON_OTHER_PLAN = "This coupon is not valid for the %s plan"
 COUPON_INACTIVE = "This referral code is no longer active"
+COUPON_FIRST_ONLY = "Coupon codes work only on the first purchase. Please continue without the coupon."
+NO_SUCH_PLAN = "Invalid plan or billing cycle"
 
 
 def coupon_error(now: Column, plan: Column, c: dict[str, Column]) -> Column:
@@ -108,3 +110,11 @@ def coupon_error(now: Column, plan: Column, c: dict[str, Column]) -> Column:
         (c["agent_id"].isNotNull() & ~c["agent_status"].eqNullSafe("ACTIVE"), F.lit(COUPON_INACTIVE)),
     )
     return F.coalesce(*[F.when(fails, text) for fails, text in checks])
+
+
+def raw_preset() -> list[Column]:
+    """The edits exposure, temperature, tint ... as a raw converter's preset: exposure as it is, temperature in kelvin, the others whole, towards zero; what is not set has the converter's default."""
+    whole = lambda name, default: F.round(F.coalesce(F.col(name).cast("double"), F.lit(default)), 6).cast("int")
+    kelvin = (5500 + F.coalesce(F.col("temperature").cast("double"), F.lit(0.0)) * 25).cast("int")
+    plain = [whole(k, 0.0).alias(k) for k in ("tint", "contrast", "highlights", "shadows", "whites", "blacks", "vibrance", "saturation")]
+    return [F.round(F.coalesce("exposure", F.lit(0.0)), 4).alias("exposure"), kelvin.alias("temperature"), *plain, whole("sharpness", 15.0).alias("sharpness"), whole("noise_reduction", 10.0).alias("smoothing")]

@@ -25,8 +25,6 @@ def photo_filter(category: str = "ALL", star_rating: int | None = None, scene: s
     return keep
 
 
-
-
 def winner_rank() -> Column:
     """Smallest for the first by: user BEST, recommended BEST, score, id."""
     return F.struct((F.col("user_selection") != "BEST").alias("a"), (F.col("ai_recommendation") != "BEST").alias("b"), F.coalesce(-F.col("ai_score"), F.lit(float("inf"))).alias("c"), F.col("photo_id").alias("d"))
@@ -99,6 +97,21 @@ def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) ->
     return l.join(r, "__b").where(F.abs(F.col(a) - F.col(b)) <= width).drop("__b")
 
 
+def sort_order(name: str) -> list[Column]:
+    """Sort keys of a gallery list: score, name, rating, similar (within groups), else id; ties by id."""
+    by_score = [F.desc("ai_score"), F.col("photo_id")]
+    orders = {"score": by_score, "name": [F.col("filename"), F.col("photo_id")], "rating": [F.desc("star_rating"), *by_score], "similar": [F.col("group_id"), effective() != "BEST", *by_score]}
+    return orders.get(name, [F.col("photo_id")])
+
+
+def file_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """left and right(id, name, width) -> base, left_id, right_id: files of one base name and one width. Of files of one base name the least (id, width) counts; null names match nothing."""
+    base = F.regexp_replace("name", r"\.[^.]*$", "").alias("base")
+    first = lambda d, side: d.groupBy(base).agg(F.min(F.struct("id", "width")).alias(side))
+    both = first(left, "l").join(first(right, "r"), "base").where("l.width = r.width")
+    return both.select("base", F.col("l.id").alias("left_id"), F.col("r.id").alias("right_id"))
+
+
 # --- mutations --------------------------------------------------------------
 
 
@@ -129,6 +142,12 @@ def reset_groups(photos: DataFrame) -> DataFrame:
     return j.select(*[label.alias(c) if c == "ai_recommendation" else F.col(c) for c in photos.columns])
 
 
+def recode(rows: DataFrame, columns: tuple[str, ...], words: dict[str, str]) -> DataFrame:
+    """rows with the words of some columns replaced by others."""
+    pairs = F.create_map(*[F.lit(x) for kv in words.items() for x in kv])
+    return rows.withColumns({c: F.coalesce(F.try_element_at(pairs, F.col(c)), F.col(c)) for c in columns})
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """ON CONFLICT DO UPDATE: new rows replace old ones of the same key; columns that are null in new keep the old value. Keys are unique in new."""
     o, n = old.alias("o"), new.alias("n")
