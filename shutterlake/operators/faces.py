@@ -48,5 +48,5 @@ def match_faces(targets: DataFrame, donors: DataFrame, most: float = 0.12) -> Da
     both = group(targets, "t").join(group(donors, "d"), "pair")
     fold = """aggregate(t, array(struct(cast(null as long) as target, cast(null as long) as donor)), (done, a) ->
         concat(done, transform(filter(array(array_min(transform(filter(d, b -> not exists(done, m -> m.donor <=> b.at)),
-          b -> struct(hypot(a.x - b.x, a.y - b.y) as far, b.at as at)))), n -> n.far < {most}), n -> struct(cast(a.at as long) as target, cast(n.at as long) as donor))))"""
+          b -> struct(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) as far, b.at as at)))), n -> n.far < {most}), n -> struct(cast(a.at as long) as target, cast(n.at as long) as donor))))"""
     return both.select("pair", F.explode(F.slice(F.expr(fold.format(most=most)), 2, 1_000_000)).alias("m")).select("pair", "m.*")

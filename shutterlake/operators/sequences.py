@@ -113,18 +113,19 @@ def fixed_window(hits: DataFrame, bucket: str, ts: str, most: int, seconds: int)
 
     A window opens with the first hit after the last one ended. A pause of
     `seconds` always ends a window, so the runs between pauses are folded each
-    on their own.
+    on their own. The fold is over the different times of a run and keeps only
+    the times at which windows open, at least `seconds` apart; hits are placed
+    in their windows by a running last value.
     """
-    w = Window.partitionBy(bucket).orderBy(ts, "id")
-    pause = F.when(F.col(ts) - F.lag(ts).over(w) >= seconds, 1).otherwise(0)
-    runs = hits.select(bucket, "id", F.col(ts).cast("long").alias("t"), pause.alias("p")).withColumn("run", F.sum("p").over(Window.partitionBy(bucket).orderBy("t", "id")))
-    arrays = runs.groupBy(bucket, "run").agg(F.array_sort(F.collect_list(F.struct("t", "id"))).alias("a"))
-    start = F.struct(F.array().cast("array<struct<id:bigint,window_start:bigint,hits:int>>").alias("out"), F.lit(None).cast("long").alias("start"), F.lit(0).alias("n"))
-
-    def fold(s: Column, x: Column) -> Column:
-        fresh = s["start"].isNull() | (x["t"] - s["start"] >= seconds)
-        begin, n = F.when(fresh, x["t"]).otherwise(s["start"]), F.when(fresh, 1).otherwise(s["n"] + 1)
-        mark = F.struct(x["id"].cast("long").alias("id"), begin.alias("window_start"), n.alias("hits"))
-        return F.struct(F.array_append(s["out"], mark).alias("out"), begin.alias("start"), n.alias("n"))
-
-    return arrays.select(bucket, F.inline(F.aggregate("a", start, fold, lambda s: s["out"]))).withColumn("allowed", F.col("hits") <= most)
+    w = Window.partitionBy(bucket).orderBy("t", "id")
+    pause = F.when(F.col("t") - F.lag("t").over(w) >= seconds, 1).otherwise(0)
+    runs = hits.select(bucket, F.col("id").cast("long").alias("id"), F.col(ts).cast("long").alias("t")).withColumn("p", pause).withColumn("run", F.sum("p").over(w)).drop("p")
+    times = runs.groupBy(bucket, "run").agg(F.array_sort(F.collect_set("t")).alias("a"))
+    start = F.array(F.get("a", F.lit(0)))
+    opens = F.aggregate("a", start, lambda s, t: F.when(t - F.element_at(s, -1) >= seconds, F.array_append(s, t)).otherwise(s))
+    opened = times.select(bucket, "run", F.explode(opens).alias("t")).withColumn("opens", F.col("t"))
+    placed = runs.join(opened, [bucket, "run", "t"], "left")
+    since = F.last("opens", ignorenulls=True).over(Window.partitionBy(bucket, "run").orderBy("t", "id")).alias("window_start")
+    rows = placed.select(bucket, "id", "t", "run", since)
+    n = F.row_number().over(Window.partitionBy(bucket, "run", "window_start").orderBy("t", "id"))
+    return rows.select(bucket, "id", "window_start", n.alias("hits"), (n <= most).alias("allowed"))

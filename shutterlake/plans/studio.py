@@ -159,9 +159,15 @@ def shot_genre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", faces.genre(F.col("scene"), F.col("id") % 5, F.col("red") - F.col("blue"), F.col("id") % 2 == 0).alias("genre"))
 
 
-@query(None)
+_FAR = "{'far': sqrt((x - b.x) * (x - b.x) + (y - b.y) * (y - b.y)), 'at': b.at}"
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT l_orderkey AS pair, l_linenumber::BIGINT AS at, l_quantity / 50 AS x, l_discount * 10 AS y, l_tax AS dx FROM lineitem), d AS MATERIALIZED (SELECT pair, list({{'at': p.at + 100, 'x': x + dx, 'y': y}}) AS free FROM p GROUP BY pair),
+t AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY pair ORDER BY p.at, x, y) AS rn FROM p), w AS (SELECT pair, 0::BIGINT AS rn, []::STRUCT(target BIGINT, donor BIGINT)[] AS done FROM d UNION ALL
+SELECT pair, rn, CASE WHEN n.far < 0.12 THEN list_append(done, {{'target': n2, 'donor': n.at}}) ELSE done END FROM (SELECT w.pair, t.rn, done, t.at AS n2, list_min(list_transform(list_filter(free, lambda b: NOT list_contains(list_transform(done, lambda m: m.donor), b.at)), lambda b: {_FAR})) AS n FROM w JOIN t ON t.pair = w.pair AND t.rn = w.rn + 1 JOIN d ON d.pair = w.pair))
+SELECT pair, m.target AS target, m.donor AS donor FROM (SELECT pair, unnest(done) AS m FROM (SELECT pair, arg_max(done, rn) AS done FROM w GROUP BY pair))""")
 def face_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each face of a photo with the same person's in the next frame; greedy, so rows are checked against a loop in the tests."""
+    """Each face of a photo with the same person's in the next frame."""
     points = _rows(spark, sf_dir, "lineitem", {"pair": "l_orderkey", "at": "cast(l_linenumber as bigint)", "x": "l_quantity / 50", "y": "l_discount * 10", "dx": "l_tax"})
     donors = points.select("pair", (F.col("at") + 100).alias("at"), (F.col("x") + F.col("dx")).alias("x"), "y")
     return faces.match_faces(points.drop("dx"), donors)

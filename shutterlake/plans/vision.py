@@ -220,7 +220,14 @@ def donors_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("photo", "donor", rank.alias("rank")).where("rank <= 8")
 
 
-@query(None)
+_BOX = "{'i': box, 'x': x, 'y': y, 'w': w, 'h': h}"
+_SHARED = "greatest(0, least(k.x + k.w, x + w) - greatest(k.x, x)) * greatest(0, least(k.y + k.h, y + h) - greatest(k.y, y))"
+
+
+@query(f"""WITH RECURSIVE b AS (SELECT l_orderkey AS image, l_linenumber AS box, max({{'p': l_extendedprice, 'q': l_quantity, 'd': l_discount, 't': l_tax, 'k': l_partkey}}) AS m FROM lineitem GROUP BY ALL),
+o AS MATERIALIZED (SELECT image, box, m.q * 2 AS x, m.d * 500 AS y, 40.0::DOUBLE AS w, m.t * 200 + 20 AS h, row_number() OVER (PARTITION BY image ORDER BY -m.p, box) AS rn FROM b),
+s AS (SELECT image, rn, [{_BOX}] AS kept FROM o WHERE rn = 1 UNION ALL SELECT o.image, o.rn, CASE WHEN len(list_filter(kept, lambda k: {_SHARED} / (k.w * k.h + w * h - {_SHARED}) >= 0.35)) > 0 THEN kept ELSE list_append(kept, {_BOX}) END FROM s JOIN o ON o.image = s.image AND o.rn = s.rn + 1)
+SELECT image, unnest(list_transform(kept, lambda k: k.i)) AS box FROM (SELECT image, arg_max(kept, rn) AS kept FROM s GROUP BY image)""")
 def nms_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Face boxes of each image without those that overlap a better one."""
     b = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
