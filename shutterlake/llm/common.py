@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_dir: str | None = None
 
@@ -55,6 +56,19 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Bits of a filter: 2^18 words of 64 bits at most (about 10 MB to every task), whatever the number of keys.
+FILTER_BITS = 24
+
+
+def may_match(rows: DataFrame, keys: DataFrame, on: tuple[str, ...], scratch: Scratch) -> DataFrame:
+    """rows with __may: false where no row of keys has this row's values of `on`; some others are true too. The bits of the keys' hashes go to every task."""
+    place = F.pmod(F.xxhash64(*on), F.lit(1 << FILTER_BITS))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    marks = keys.groupBy(word.alias("__slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("__marks"))
+    marked = rows.withColumn("__slot", word).join(F.broadcast(scratch.write(marks, "marks")), "__slot", "left")
+    return marked.withColumn("__may", F.getbit(F.coalesce("__marks", F.lit(0).cast("long")), bit) == 1).drop("__slot", "__marks")
+
+
 # --- text buffers -----------------------------------------------------------
 
 #: ASCII white space, as in [\x20\x09-\x0D]

@@ -19,13 +19,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import Scratch
+from shutterlake.llm.common import Scratch, may_match
 
 #: A key is hot if it holds this share of the sampled lines, or HOT_LINES lines: at most 1,000 keys, or one for HOT_LINES
 #: lines of the corpus. One line in SAMPLE is sampled.
 HOT_SHARE, HOT_LINES, HOT_LEAST, SAMPLE = 1 / 1000, 1_000_000, 64, 16
-#: Bits of the fixed-size filter of documents that lose a line; 2^18 words of 64 bits at most.
-FILTER_BITS = 24
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -122,21 +120,16 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     own = docs.columns
     scratch = Scratch(docs.sparkSession)
     bitmaps = scratch.write(drop_bitmaps(docs, min_chars, min_docs, scratch), "bitmaps")
-    place = F.pmod(F.xxhash64("doc", "text_hash"), F.lit(1 << FILTER_BITS))
-    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
-    marks = bitmaps.groupBy(word.alias("slot")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("marks"))
-    marks = F.broadcast(scratch.write(marks, "marks"))
     # The row travels as one struct, so that no column of docs clashes with those of the join.
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     left = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"))
     left = left.select("row", F.coalesce(F.col("row.doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc"), F.xxhash64(text).alias("text_hash"))
-    left = left.withColumns({"slot": word, "bit": bit}).join(marks, "slot", "left")
-    may = F.getbit(F.coalesce("marks", F.lit(0).cast("long")), F.col("bit")) == 1
+    left = may_match(left, bitmaps, ("doc", "text_hash"), scratch)
 
     def result(rows: DataFrame, kept: Column, dropped: Column) -> DataFrame:
         n_lines = F.char_length(text) - F.char_length(F.translate(text, "\n", "")) + 1
         return rows.select(*[kept.alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in own], n_lines.cast("long").alias("__n_lines"), dropped.cast("long").alias("__n_dropped"))
 
-    lose = left.where(may).select("row", "doc", "text_hash").join(bitmaps, ["doc", "text_hash"], "left")
+    lose = left.where("__may").select("row", "doc", "text_hash").join(bitmaps, ["doc", "text_hash"], "left")
     shortened = result(lose, F.when(F.col("n_dropped").isNull(), text).otherwise(without_lines(text, F.col("words"))), F.coalesce("n_dropped", F.lit(0)))
-    return result(left.where(~may), text, F.lit(0)).unionByName(shortened)
+    return result(left.where("not __may"), text, F.lit(0)).unionByName(shortened)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shutterlake.llm.common import Scratch, mix64, shingles, slices, text_buffer, words
+from shutterlake.llm.common import Scratch, may_match, mix64, shingles, slices, text_buffer, words
 from shutterlake.llm.components import connected_components, contract
 
 TREES, DEPTH, TARGET = 32, 10, 0.995
@@ -149,19 +149,18 @@ def _stars(depth: int, least: int):
     return run
 
 
-def _shingle_sets(trees: int, depth: int, prefix: int, done: int | None):
-    """text -> its sorted distinct shingles and the hash of each tree's prefix, and of that which was verified before, as bytes."""
+def _shingle_sets(trees: int, depth: int, least: int):
+    """ck, text -> ck, its sorted distinct shingles, and the hashes of each tree's prefixes of `least` to `depth` values, as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["ck", "comp", "blocks", "sets", "keys"]
         for batch in batches:
             for part in slices(batch, "text"):
-                h, _, _, offsets = words(*text_buffer(part.column(3)))
+                h, _, _, offsets = words(*text_buffer(part.column(1)))
                 s, s_offsets = shingles(h, offsets)
                 sig = signatures(s, s_offsets, trees * depth)
-                keys = np.hstack([tree_keys(sig, trees, depth, p) for p in (prefix, done) if p])
+                keys = np.hstack([tree_keys(sig, trees, depth, p) for p in range(least, depth + 1)])
                 sets = [np.unique(s[a:b]).tobytes() for a, b in zip(s_offsets[:-1], s_offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(sets, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary()), pa.array([k.tobytes() for k in keys], pa.binary())], names=["ck", "sets", "keys"])
 
     return run
 
@@ -281,18 +280,19 @@ def _classes(docs: DataFrame, threshold: float, target: float = TARGET, trees: i
     labels = scratch.write(labels, "labels")
     runs = scratch.write(labels.repartitionByRange("tree", "label", "ck").sortWithinPartitions("tree", "label", "ck").mapInArrow(_stars(depth, least), "tree int, prefix binary, a binary, b binary, length int"), "runs")
     scratch.drop(labels)
+    sets = _sets_of(base, signed, _stars_of(runs, least), scratch, trees, depth, least)
 
     prefix, done = depth, None
     rounds: list[DataFrame] = []
     while True:
-        rounds.append(_verified_links(base, signed, runs, scratch, prefix, done, trees, depth, threshold, block))
+        rounds.append(_verified_links(sets, runs, scratch, prefix, done, trees, least, threshold, block))
         counted = rounds[0] if len(rounds) == 1 else reduce(DataFrame.unionByName, rounds)
         percents = counted.where(F.col("percent").isNotNull()).groupBy("percent").agg(F.sum("links").alias("n")).collect()
         shorter = next_prefix({r.percent: r.n for r in percents}, prefix, least, target, trees)
         if shorter is None:
             break
         prefix, done = shorter, prefix
-    scratch.drop(runs)
+    scratch.drop(runs, sets)
 
     found = counted.where(F.col("percent").isNull())
     links = found.where(F.col("b").isNull()).groupBy(F.col("a").alias("ck")).agg(F.sum("links").alias("n_links"))
@@ -302,26 +302,35 @@ def _classes(docs: DataFrame, threshold: float, target: float = TARGET, trees: i
     return signed, classed.select("ck", "grp", "least", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n_copies")
 
 
-def _verified_links(base: DataFrame, signed: DataFrame, runs: DataFrame, scratch: Scratch, prefix: int, done: int | None, trees: int, depth: int, threshold: float, block: int) -> DataFrame:
-    """a, b, links, percent: sums of links (b null), spanning forests (a, b), and links by percent of similarity (percent not null) of the pairs that share a prefix of this length and none of the length done before."""
+def _stars_of(runs: DataFrame, prefix: int) -> DataFrame:
+    """a, b: edges that join the runs of this prefix length, within partitions and across their borders."""
     ends = runs.where(F.col("b").isNull() & (F.col("length") == prefix)).select("tree", "prefix", "a").distinct()
     across = ends.join(ends.groupBy("tree", "prefix").agg(F.min("a").alias("b")), ["tree", "prefix"]).select("a", "b")
+    return runs.where(F.col("b").isNotNull() & (F.col("length") >= prefix)).select("a", "b").unionByName(across)
+
+
+def _sets_of(base: DataFrame, signed: DataFrame, stars: DataFrame, scratch: Scratch, trees: int, depth: int, least: int) -> DataFrame:
+    """ck, sets, keys of each class that has an edge. One of its rows is read again: that of its least doc_id, whose text alone is shuffled, but for a few that the filter lets through."""
+    apart = stars.where(F.col("a") != F.col("b"))
+    nodes = apart.select(F.col("a").alias("ck")).unionByName(apart.select(F.col("b").alias("ck"))).distinct()
+    none = F.lit(-(2**63)).cast("long")
+    readers = signed.groupBy("ck").agg(F.coalesce(F.min("doc_id"), none).alias("id")).join(nodes, "ck")
+    readers = scratch.write(readers, "readers")
+    rows = base.select(F.coalesce("doc_id", none).alias("id"), "ck", "text")
+    chosen = may_match(rows, readers, ("id", "ck"), scratch).where("__may").groupBy("id", "ck").agg(F.first("text").alias("text"))
+    texts = chosen.join(readers, ["id", "ck"]).select("ck", "text")
+    return scratch.write(texts.mapInArrow(_shingle_sets(trees, depth, least), "ck binary, sets binary, keys binary"), "sets")
+
+
+def _verified_links(sets: DataFrame, runs: DataFrame, scratch: Scratch, prefix: int, done: int | None, trees: int, least: int, threshold: float, block: int) -> DataFrame:
+    """a, b, links, percent: sums of links (b null), spanning forests (a, b), and links by percent of similarity (percent not null) of the pairs that share a prefix of this length and none of the length done before."""
     # A class stands in at most one run of each tree, so it has few stars.
-    near = connected_components(contract(runs.where(F.col("b").isNotNull() & (F.col("length") >= prefix)).select("a", "b").unionByName(across)), scratch)
-
-    near = near.select(F.col("node").alias("ck"), F.col("label").alias("comp"))
-    sizes = near.groupBy("comp").agg(F.count(F.lit(1)).alias("size"))
-    first_doc = signed.groupBy("ck").agg(F.min("doc_id").alias("first_doc"))
-    members = near.join(sizes, "comp").select("ck", "comp", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    # A class is read again from one of its documents: any row with this id and text, or any with this text if none has an id.
-    readers = members.join(first_doc, "ck").select(F.col("first_doc").alias("doc_id"), "ck", "comp", "blocks")
-    again = base.join(readers, ["doc_id", "ck"]).dropDuplicates(["doc_id", "ck"]).select("ck", "comp", "blocks", "text")
-    if signed.where(F.col("doc_id").isNull()).limit(1).count():
-        nameless = base.where(F.col("doc_id").isNull()).dropDuplicates(["ck"]).drop("doc_id")
-        again = again.unionByName(nameless.join(readers.where(F.col("doc_id").isNull()), "ck").select("ck", "comp", "blocks", "text"))
-    sets = again.mapInArrow(_shingle_sets(trees, depth, prefix, done), "ck binary, comp binary, blocks int, sets binary, keys binary")
+    near = connected_components(contract(_stars_of(runs, prefix)), scratch).select(F.col("node").alias("ck"), F.col("label").alias("comp"))
+    sizes = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    keys = F.concat(*[F.substring("keys", (p - least) * 4 * trees + 1, 4 * trees) for p in (prefix, done) if p])
+    members = near.join(sizes, "comp").join(sets.select("ck", "sets", keys.alias("keys")), "ck")
     own = F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int")
-    spread = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.col("own").alias("side"), "ck", "sets", "keys")
     return scratch.write(spread.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj", "ck").mapInArrow(_verify(trees, threshold), "a binary, b binary, links long, percent int"), "found")
 

@@ -400,7 +400,7 @@ def test_jaccard_links_after_shortened_prefixes(spark, monkeypatch):
             for _ in range(int(rng.integers(0, 3))):
                 words[int(rng.integers(0, 120))] = f"c{c}"
             rows.append((100 * g + c, " ".join(words)))
-    lengths = iter([9, 8, 7, None])
+    lengths = iter([9, 8, None])
     monkeypatch.setattr(ngram_join, "next_prefix", lambda *a: next(lengths))
     got = Counter(tuple(r) for r in ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string"), block=16).collect())
     links = all_links(rows)
