@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from shutterlake.llm.common import Scratch, may_match, mix64, shingles, slices, text_buffer, words
 from shutterlake.llm.components import connected_components, contract
 
-TREES, DEPTH, TARGET = 32, 10, 0.995
+TREES, DEPTH, TARGET = 32, 10, 0.999
 BLOCK = 512
 
 
