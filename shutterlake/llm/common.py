@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,9 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/shutterlake-{uuid.uuid4().hex}"
         self.count = 0
+        self.tables: list[DataFrame] = []
+        for scope in _scopes[-1:]:
+            scope.append(self)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         self.count += 1
@@ -46,14 +50,40 @@ class Scratch:
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path  # type: ignore[attr-defined]
+        self.tables.append(out)
         return out
 
+    def _delete(self, path: str) -> None:
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        found.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(found, True)
+
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later step reads."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(conf).delete(path, True)
+            self._delete(table._scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables but these."""
+        paths = {t._scratch_path for t in tables}
+        self.drop(*[t for t in self.tables if t._scratch_path not in paths])
+        self.tables = list(tables)
+
+    def clear(self) -> None:
+        self._delete(self.root)
+
+
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Deletes the tables of all Scratches made inside, once the results that read them are written."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.clear()
 
 
 #: Bits of a filter: 2^18 words of 64 bits at most (about 10 MB to every task), whatever the number of keys.

@@ -120,6 +120,7 @@ def deduplicate_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     own = docs.columns
     scratch = Scratch(docs.sparkSession)
     bitmaps = scratch.write(drop_bitmaps(docs, min_chars, min_docs, scratch), "bitmaps")
+    scratch.keep(bitmaps)
     # The row travels as one struct, so that no column of docs clashes with those of the join.
     text = F.coalesce(F.col("row.text").cast("string"), F.lit(""))
     left = docs.select(F.struct(*[F.col(c) for c in own]).alias("row"))
