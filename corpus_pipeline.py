@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from shutterlake.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
-from shutterlake.llm.common import Scratch
+from shutterlake.llm.common import Scratch, temporary
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +41,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each but the last written to the shared folder and read again."""
+    """All stages over documents, each but the last written to the shared folder and read again. Of what the stages wrote, only the last one's input stays."""
     scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = scratch.write(stage(spark, docs, sf_dir), name)
+        with temporary():
+            docs = scratch.write(stage(spark, docs, sf_dir), name)
+        scratch.keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
