@@ -25,6 +25,7 @@ SLOTS = 1024  # letters share a vector where their slots meet; slot 0 is the gap
 
 @lru_cache(1)
 def letter_slots() -> np.ndarray:
+    """The slot of each code point: letters below 512 have one of their own, others one by hash; 0 for all that is no letter."""
     letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     code = np.arange(0x110000, dtype=np.uint64)
     hashed = (code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
@@ -34,6 +35,7 @@ def letter_slots() -> np.ndarray:
 
 @lru_cache(2)
 def letter_vectors(dimensions: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A random vector of +1 and -1 for each slot, permuted twice, once and not at all: by its place in a trigram."""
     base = (np.random.default_rng(11).integers(0, 2, (SLOTS, dimensions), dtype=np.int8) * 2 - 1).astype(np.int8)
     return np.roll(base, 2, axis=1), np.roll(base, 1, axis=1), base
 

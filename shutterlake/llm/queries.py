@@ -70,9 +70,9 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of each document, learned from those whose id is not held out."""
     docs = _table(spark, sf_dir, "documents")
-    rest = F.coalesce(language_id.remainder(F.col("doc_id"), 4), F.lit(0))
-    prototypes = language_id.learn(docs.where(rest != 2))
-    marked = docs.select("doc_id", (rest == 2).alias("held_out"), "text")
+    rest = language_id.remainder(F.col("doc_id"), 4)
+    prototypes = language_id.learn(docs.where(rest != 2))  # rows without an id teach nothing
+    marked = docs.select("doc_id", F.coalesce(rest == 2, F.lit(False)).alias("held_out"), "text")
     return language_id.identify(marked, prototypes, ("doc_id", "held_out"))
 
 
