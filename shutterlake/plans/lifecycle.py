@@ -107,12 +107,12 @@ _ASK = {
 }
 
 
-@query(f"""WITH c AS ({_COUPONS}), a AS (SELECT *, CASE {_PRICE_SQL} END AS base FROM ({_view(_ASK, 'orders')})),
+@query(f"""WITH c AS ({_COUPONS}), a AS (SELECT *, (CASE {_PRICE_SQL} END)::DOUBLE AS base FROM ({_view(_ASK, 'orders')})),
 h AS (SELECT customer, count(*) AS bought, arg_min(agent, {{'a': a.at, 'i': a.id}}) FILTER (WHERE agent IS NOT NULL) AS referrer FROM a WHERE paid GROUP BY customer),
 q AS (SELECT a.*, c.id AS cid, active, valid_until, max_uses, used, plans, agent_id, CASE WHEN agent_id < 5 THEN 'ACTIVE' ELSE 'BLOCKED' END AS astatus, bought, CASE WHEN referrer < 5 THEN referrer END AS referrer FROM a LEFT JOIN c ON c.id = a.code LEFT JOIN h ON h.customer = a.customer WHERE NOT paid),
 e AS (SELECT *, CASE WHEN base IS NULL THEN 'Invalid plan or billing cycle' WHEN code IS NULL THEN NULL WHEN cid IS NULL OR active = 0 THEN 'Invalid or expired coupon code' WHEN valid_until > 0 AND valid_until < 1500 THEN 'This coupon has expired' WHEN max_uses > 0 AND used >= max_uses THEN 'This coupon has reached its usage limit'
   WHEN plans <> '' AND NOT list_contains(string_split(plans, ','), plan) THEN 'This coupon is not valid for the ' || plan || ' plan' WHEN agent_id IS NOT NULL AND astatus <> 'ACTIVE' THEN 'This referral code is no longer active' WHEN bought > 0 THEN 'Coupon codes work only on the first purchase. Please continue without the coupon.' END AS error FROM q),
-d AS (SELECT *, CASE WHEN code IS NULL THEN 0.0 WHEN currency = 'INR' THEN round(base * 15 / 100) ELSE round(base * 15 / 100, 2) END AS less FROM e)
+d AS (SELECT *, CASE WHEN code IS NULL THEN 0.0::DOUBLE WHEN currency = 'INR' THEN round(base * 15 / 100) ELSE round(base * 15 / 100, 2) END AS less FROM e)
 SELECT id, error, CASE WHEN error IS NULL THEN base END AS original_price, CASE WHEN error IS NULL THEN round(greatest(0, base - less), 2) END AS final_price, CASE WHEN error IS NULL THEN CASE WHEN code IS NOT NULL THEN agent_id ELSE referrer END END AS agent FROM d""")
 def referral_quote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quote for each open order: base price, coupon, the rule of the first purchase, and the partner who is credited."""
