@@ -328,7 +328,8 @@ def _verified_links(sets: DataFrame, runs: DataFrame, scratch: Scratch, prefix:
     near = connected_components(contract(_stars_of(runs, prefix)), scratch).select(F.col("node").alias("ck"), F.col("label").alias("comp"))
     sizes = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     keys = F.concat(*[F.substring("keys", (p - least) * 4 * trees + 1, 4 * trees) for p in (prefix, done) if p])
-    members = near.join(sizes, "comp").join(sets.select("ck", "sets", keys.alias("keys")), "ck")
+    # Merged whatever the sizes: a table that is small here grows with the corpus.
+    members = near.join(sizes, "comp").join(sets.select("ck", "sets", keys.alias("keys")).hint("merge"), "ck")
     own = F.pmod(F.xxhash64("ck"), F.col("blocks")).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("comp", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), F.col("own").alias("side"), "ck", "sets", "keys")
