@@ -60,6 +60,43 @@ SELECT l.doc_id, count(*)::BIGINT AS n_lines,
 FROM l LEFT JOIN r USING (k) GROUP BY l.rid, l.doc_id
 """
 
+#: CRC-32 of an ASCII string s: its polynomial is a fixed value.
+_CRC = """xor(list_reduce(list_transform(range(len(s)), lambda i: ascii(s[i + 1])::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, xor(c, b)), 4294967295::BIGINT), 4294967295)"""
+
+OP11 = f"""
+WITH t AS (
+  SELECT conv_id, conv_id - conv_id % 5 AS base, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+         strlen(coalesce(text, '')) AS bytes,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, base, {_CRC} % 9 AS h FROM (SELECT DISTINCT conv_id, base, conv_id::VARCHAR AS s FROM t)
+), r AS (
+  SELECT conv_id, 0 AS part, 0 AS place, '' AS m, 0 AS bytes FROM c
+  UNION ALL SELECT c.conv_id, 1, place, m, bytes FROM c JOIN t ON t.conv_id = c.base AND place <= h
+  UNION ALL SELECT c.conv_id, 2, place, m, bytes FROM c JOIN t ON t.conv_id = c.conv_id AND place > h
+), p AS (
+  SELECT conv_id, bytes, row_number() OVER w - 1 AS depth, string_agg(m, '') OVER w AS k,
+         row_number() OVER w = count(*) OVER (PARTITION BY conv_id) AS ends
+  FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY part, place ROWS UNBOUNDED PRECEDING)
+), n AS (
+  SELECT k, any_value(depth) AS depth, any_value(bytes) AS bytes, min(conv_id) AS conv_id, count(*) AS n_convs,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids
+  FROM p GROUP BY k
+), kids AS (
+  SELECT left(k, greatest(len(k) - 32, 0)) AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1
+), v AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)
+), sub AS (
+  SELECT a.k, sum((b.n_convs - 1) * b.bytes)::BIGINT AS saved_tokens, count(*) FILTER (WHERE b.n_children = 0) AS n_leaves
+  FROM v a JOIN v b ON b.k[1:len(a.k)] = a.k AND b.depth >= a.depth GROUP BY a.k
+)
+SELECT v.conv_id, v.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children::BIGINT AS n_children, n_leaves, saved_tokens,
+       sha256(v.ids) AS ends_sha256
+FROM v JOIN sub USING (k) LEFT JOIN v u ON v.depth > 0 AND u.k = left(v.k, greatest(len(v.k) - 32, 0))
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_ledger": OP6, "op9_line_dedup": OP9}
+    return {"op6_quality_ledger": OP6, "op9_line_dedup": OP9, "op11_conversation_trie": OP11}

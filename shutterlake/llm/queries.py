@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shutterlake.llm import decontaminate, html_extract, language_id, line_dedup, ngram_join, packing, personal_data, quality_classifier, quality_rules, url_filter
+from shutterlake.llm import bpe, conversation_trie, decontaminate, html_extract, language_id, line_dedup, ngram_join, packing, periodic_runs, personal_data, quality_classifier, quality_rules, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,5 +96,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_links(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of rebuilt conversations."""
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of each document, and the bytes they decode to, as digests."""
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of each document's words, and its text without their repetitions."""
+    return periodic_runs.digest(periodic_runs.periodic_runs(_table(spark, sf_dir, "documents"), plant=True))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pack_binary, op2_url_model, op3_html_extract, op4_decontaminate, op5_personal_data, op6_quality_ledger, op7_language_id, op8_quality_trees, op9_line_dedup, op10_ngram_jaccard)}
+    return {f.__name__: f for f in (op1_pack_binary, op2_url_model, op3_html_extract, op4_decontaminate, op5_personal_data, op6_quality_ledger, op7_language_id, op8_quality_trees, op9_line_dedup, op10_ngram_jaccard, op11_conversation_trie, op12_byte_bpe, op13_periodic_runs)}
