@@ -8,14 +8,17 @@ coefficient of their shingle sets.
 
 The prefix starts as the whole label. Each link found has a similarity, and with
 it the probability that prefixes of this length find such a link; the links
-found, each over its probability, estimate how many there are. Prefixes are
-shortened until the links found reach the target share of that estimate, or the
-length at which even a pair just at the threshold is found with the target
-probability. A shorter prefix verifies only what the longer one did not.
+found, each over its probability, and as many as UNSEEN just at the threshold,
+estimate how many there are. Prefixes are shortened until the links found reach
+the target share of that estimate, or the length at which even a pair just at
+the threshold is found with the target probability. UNSEEN stands for what no
+found link speaks of: where few links were found, or none, all lengths are
+tried. A shorter prefix verifies only what the longer one did not.
 
 Large groups: sorted runs are linked as stars, components of the stars are
-cut into blocks of BLOCK classes, and each pair of blocks is verified in one
-task, which returns sums and a spanning forest, never the pairs.
+cut into blocks of BLOCK classes, or BLOCK_BYTES of shingles, and each pair of
+blocks is verified in one task, which returns sums and a spanning forest, never
+the pairs.
 """
 
 from __future__ import annotations
@@ -32,7 +35,9 @@ from shutterlake.llm.common import Scratch, may_match, mix64, shingles, slices,
 from shutterlake.llm.components import connected_components, contract
 
 TREES, DEPTH, TARGET = 32, 10, 0.999
-BLOCK = 512
+BLOCK, BLOCK_BYTES = 512, 64 << 20
+#: Links just at the threshold that may be there for all that the links found tell.
+UNSEEN = 1000
 
 
 def choose_depth(threshold: float, target: float = TARGET, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -47,13 +52,13 @@ def found_share(similarity: np.ndarray | float, prefix: int, trees: int = TREES)
     return 1 - (1 - similarity**prefix) ** trees
 
 
-def next_prefix(links: dict[int, int], prefix: int, least: int, target: float, trees: int = TREES) -> int | None:
+def next_prefix(links: dict[int, int], prefix: int, least: int, target: float, threshold: float, trees: int = TREES) -> int | None:
     """The longest shorter prefix, not below the least, that is expected to reach the target; null if this one does. links: how many were found, by percent of similarity."""
-    if prefix <= least or not links:
+    if prefix <= least:
         return None
-    at = np.array(sorted(links)) / 100 + 0.005
-    true = np.array([links[k] for k in sorted(links)]) / found_share(np.minimum(at, 1.0), prefix, trees)
-    reached = lambda p: (true * found_share(np.minimum(at, 1.0), p, trees)).sum() / true.sum()
+    at = np.array([threshold, *[min(k / 100 + 0.005, 1.0) for k in sorted(links)]])
+    true = np.array([UNSEEN, *[links[k] for k in sorted(links)]]) / np.array([1.0, *found_share(at[1:], prefix, trees)])
+    reached = lambda p: (true * found_share(at, p, trees)).sum() / true.sum()
     if reached(prefix) >= target:
         return None
     return next((p for p in range(prefix - 1, least, -1) if reached(p) >= target), least)
@@ -174,10 +179,10 @@ def tree_keys(sig: np.ndarray, trees: int, depth: int, prefix: int) -> np.ndarra
     return (total >> np.uint64(32)).astype(np.uint32)
 
 
-def verify_block(cks: list[bytes], side: np.ndarray, sets: list[np.ndarray], keys: np.ndarray, trees: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
+def verify_block(cks: list[bytes], side: np.ndarray, across: bool, sets: list[np.ndarray], keys: np.ndarray, trees: int, threshold: float) -> tuple[np.ndarray, list[tuple[int, int]], np.ndarray]:
     """Links of each class in the block, a spanning forest of them, and their number by percent of similarity.
 
-    Pairs are within the block if all have one side, else across the two sides.
+    Pairs are within the block, or across the two sides.
     A pair is a candidate if it shares a prefix in any tree, but for those that
     share one of the longer prefixes, verified before, whose keys come behind.
     """
@@ -193,10 +198,9 @@ def verify_block(cks: list[bytes], side: np.ndarray, sets: list[np.ndarray], key
 
     forest: list[tuple[int, int]] = []
     percents = np.zeros(101, np.int64)
-    two = bool((side != side[0]).any())
     for i in range(n):
         others = np.arange(i + 1, n)
-        if two:
+        if across:
             others = others[side[others] != side[i]]
         least, most = np.minimum(size[others], size[i]), np.maximum(size[others], size[i])
         others = others[least >= threshold * most - 1e-9]
@@ -229,7 +233,7 @@ def _verify(trees: int, threshold: float):
         def result() -> pa.RecordBatch:
             cks = [r[0] for r in held]
             keys = np.array([np.frombuffer(r[3], np.uint32) for r in held]).reshape(len(held), -1)
-            links, forest, percents = verify_block(cks, np.array([r[1] for r in held]), [np.frombuffer(r[2], np.uint64) for r in held], keys, trees, threshold)
+            links, forest, percents = verify_block(cks, np.array([r[1] for r in held]), group[1] != group[2], [np.frombuffer(r[2], np.uint64) for r in held], keys, trees, threshold)
             some, alike = np.flatnonzero(links), np.flatnonzero(percents)
             a = [*[cks[i] for i in some], *[cks[i] for i, _ in forest], *[None] * len(alike)]
             b = [*[None] * len(some), *[cks[j] for _, j in forest], *[None] * len(alike)]
@@ -288,7 +292,7 @@ def _classes(docs: DataFrame, threshold: float, target: float = TARGET, trees: i
         rounds.append(_verified_links(sets, runs, scratch, prefix, done, trees, least, threshold, block))
         counted = rounds[0] if len(rounds) == 1 else reduce(DataFrame.unionByName, rounds)
         percents = counted.where(F.col("percent").isNotNull()).groupBy("percent").agg(F.sum("links").alias("n")).collect()
-        shorter = next_prefix({r.percent: r.n for r in percents}, prefix, least, target, trees)
+        shorter = next_prefix({r.percent: r.n for r in percents}, prefix, least, target, threshold, trees)
         if shorter is None:
             break
         prefix, done = shorter, prefix
@@ -326,7 +330,8 @@ def _verified_links(sets: DataFrame, runs: DataFrame, scratch: Scratch, prefix:
     """a, b, links, percent: sums of links (b null), spanning forests (a, b), and links by percent of similarity (percent not null) of the pairs that share a prefix of this length and none of the length done before."""
     # A class stands in at most one run of each tree, so it has few stars.
     near = connected_components(contract(_stars_of(runs, prefix)), scratch).select(F.col("node").alias("ck"), F.col("label").alias("comp"))
-    sizes = near.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    weights = near.join(sets.select("ck", F.octet_length("sets").alias("bytes")).hint("merge"), "ck")
+    sizes = weights.groupBy("comp").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
     keys = F.concat(*[F.substring("keys", (p - least) * 4 * trees + 1, 4 * trees) for p in (prefix, done) if p])
     # Merged whatever the sizes: a table that is small here grows with the corpus.
     members = near.join(sizes, "comp").join(sets.select("ck", "sets", keys.alias("keys")).hint("merge"), "ck")

@@ -8,9 +8,12 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from shutterlake.llm import decontaminate, html_extract, line_dedup, ngram_join, personal_data, queries, url_filter
+from shutterlake.llm.common import shingles, text_buffer
+from shutterlake.llm.common import words as words_of
 
 SF = "/root/testdata/sf0.01"
 
@@ -382,11 +385,57 @@ def test_jaccard_query_recall(spark, texts):
 
 
 def test_prefixes_are_shortened_until_the_target():
-    near, far = {99: 1000}, {80: 1000}
-    assert ngram_join.next_prefix(near, 10, 7, 0.995) is None
-    assert ngram_join.next_prefix({}, 10, 7, 0.995) is None and ngram_join.next_prefix(far, 7, 7, 0.995) is None
-    assert ngram_join.next_prefix(far, 10, 7, 0.995) == 8 and ngram_join.next_prefix(far, 10, 7, 0.9999) == 7
-    assert ngram_join.next_prefix({80: 10, 99: 1000}, 10, 7, 0.995) is None
+    near, far = {99: 1_000_000}, {80: 1_000_000}
+    assert ngram_join.next_prefix(near, 10, 7, 0.995, 0.8) is None
+    assert ngram_join.next_prefix(far, 7, 7, 0.995, 0.8) is None
+    assert ngram_join.next_prefix(far, 10, 7, 0.995, 0.8) == 8 and ngram_join.next_prefix(far, 10, 7, 0.9999, 0.8) == 7
+    assert ngram_join.next_prefix({80: 10, 99: 1_000_000}, 10, 7, 0.995, 0.8) is None
+
+
+def test_prefixes_are_shortened_where_few_links_speak():
+    """No link, or a few easy ones, say nothing of those near the threshold."""
+    for few in ({}, {99: 3}, {82: 1}):
+        lengths = [10]
+        while (p := ngram_join.next_prefix(few, lengths[-1], 7, 0.999, 0.8)) is not None:
+            lengths.append(p)
+        assert lengths[-1] == 7
+
+
+def hidden_pairs(most):
+    """Pairs of texts at a Jaccard coefficient of 0.80 to 0.82 whose labels share no whole label of any tree."""
+    rng = np.random.default_rng(11)
+    found = []
+    while len(found) < most:
+        words = [f"v{k}" for k in rng.integers(0, 10**9, 204)]
+        a, b = " ".join(words), " ".join([*words[:-20], *[f"z{k}" for k in rng.integers(0, 10**9, 20)]])
+        both, every = len(shingle_set(a) & shingle_set(b)), len(shingle_set(a) | shingle_set(b))
+        h, _, _, offsets = words_of(*text_buffer(pa.array([a, b])))
+        sig = ngram_join.signatures(*shingles(h, offsets), ngram_join.TREES * ngram_join.DEPTH)
+        labels = sig.reshape(2, ngram_join.TREES, ngram_join.DEPTH)
+        if 0.80 <= both / every <= 0.82 and not (labels[0] == labels[1]).all(axis=1).any():
+            found.append((a, b))
+    return found
+
+
+def test_hidden_pairs_are_found(spark):
+    """Tables of one and of several pairs that the whole labels miss, alone and among documents without links."""
+    pairs = hidden_pairs(6)
+    alone = [" ".join(f"n{k}x{i}" for i in range(60)) for k in range(40)]
+    for texts in ([*pairs[0]], [t for p in pairs for t in p], [*alone, *[t for p in pairs for t in p]]):
+        rows = list(enumerate(texts))
+        got = Counter(tuple(r) for r in ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == classes_by_hand(rows, all_links(rows))
+        kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).count()
+        assert kept == len(rows) - len(all_links(rows))
+
+
+def test_blocks_are_cut_by_bytes(spark, monkeypatch):
+    """Few classes with large sets fall into several blocks, with the same links."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 20_000)
+    words = [f"w{k}" for k in range(1500)]
+    rows = [(k, " ".join([*words[: 100 * k], f"c{k}", *words[100 * k :]])) for k in range(9)]
+    got = Counter(tuple(r) for r in ngram_join.jaccard_links(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == classes_by_hand(rows, all_links(rows)) and len(all_links(rows)) == 36
 
 
 def test_jaccard_links_after_shortened_prefixes(spark, monkeypatch):
