@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from shutterlake.plans import business, culling, gallery, lifecycle, pixels, studio, vision  # noqa: F401  they register their queries
+from shutterlake.plans import business, culling, gallery, imaging, lifecycle, pixels, studio, vision  # noqa: F401  they register their queries
 from shutterlake.plans.registry import QUERIES, SQL, Query
 
 
