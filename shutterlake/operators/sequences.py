@@ -2,7 +2,7 @@
 
 They are folds over sorted arrays, in the JVM. Rows are first cut at places
 where a fold starts anew whatever its state, so that an array holds one such
-run and not a whole project.
+run, of a few numbers a row, and not a whole project.
 """
 
 from __future__ import annotations
@@ -58,38 +58,76 @@ def burst_match(anchor: Column, previous: Column, current: Column, rules: BurstR
 
 
 _ITEM = ("id", "ts", "seq", "filename", "stem", "faces", "dhash", "hist", "feature")
+#: Photos that follow each other are worked on in parts of this many seconds, or of this many numbers where times are missing.
+PART_SECONDS, PART_NUMBERS = 600, 512
 
 
 def burst_segments(items: DataFrame, rules: BurstRules = BurstRules()) -> DataFrame:  # noqa: B008
     """items(project, id, ts, seq, filename, stem, faces, dhash, hist, feature) -> project, id, anchor.
 
     anchor: the id of the burst's first photo, its own for a photo alone. Photos
-    are ordered by time (missing: 0), number and name. A gap above slow_gap
-    between photos whose stems differ from the dozen before starts a new run;
-    runs are folded each on their own.
+    are ordered by time (missing: 0), number and name. A project falls into parts
+    of its time, so none is one task; each part takes the last photos of those
+    before along. Each photo is matched with the dozen before as anchors, and
+    the fold over a run of photos sees only the bits of these matches.
     """
+    most = rules.longest - 1
     order = [F.coalesce("ts", F.lit(0.0)), F.coalesce("seq", F.lit(0)), "filename", "id"]
-    w = Window.partitionBy("project").orderBy(*order)
-    near = F.collect_list("stem").over(w.rowsBetween(-(rules.longest - 1), -1))
-    step = F.struct(F.lag("ts").over(w).alias("ts"), F.lag("seq").over(w).alias("seq"))
-    marked = items.withColumns({"__near": near, "__before": step, "__rank": F.row_number().over(w)})
-    cut = (gap(F.col("__before"), F.struct("ts", "seq")) > rules.slow_gap) & ~F.array_contains("__near", F.col("stem"))
-    runs = marked.withColumn("__run", F.sum(F.when(cut, 1).otherwise(0)).over(w))
-    arrays = runs.groupBy("project", "__run").agg(F.array_sort(F.collect_list(F.struct("__rank", *_ITEM))).alias("a"))
-
-    start = F.struct(F.array().cast("array<struct<id:bigint,anchor:bigint>>").alias("out"), F.get("a", F.lit(0)).alias("anchor"), F.get("a", F.lit(0)).alias("previous"), F.lit(0).alias("n"))
+    part = F.struct(F.floor(F.coalesce("ts", F.lit(0.0)) / PART_SECONDS).alias("time"), F.when(F.col("ts").isNull(), F.floor(F.coalesce("seq", F.lit(0)) / PART_NUMBERS)).otherwise(0).alias("number"))
+    photo = F.struct(*_ITEM)
+    placed = items.select("project", part.alias("__part"), F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]).alias("__order"), photo.alias("__photo"))
+
+    # What a part starts after: the last photos of the parts before it.
+    ends = Window.partitionBy("project", "__part").orderBy(F.col("__order").desc())
+    tails = placed.withColumn("__r", F.row_number().over(ends)).where(F.col("__r") <= most).groupBy("project", "__part").agg(F.transform(F.array_sort(F.collect_list(F.struct("__order", "__photo"))), lambda x: x["__photo"]).alias("tail"))
+    # A part has a photo at least, so as many parts as photos are wanted are enough.
+    earlier = F.collect_list("tail").over(Window.partitionBy("project").orderBy("__part").rowsBetween(-most, -1))
+    starts = tails.select("project", "__part", _last(F.flatten(earlier), most).alias("__start"))
+
+    w = Window.partitionBy("project", "__part").orderBy("__order")
+    local = F.collect_list("__photo").over(w.rowsBetween(-most, -1))
+    rows = placed.withColumn("__local", local).join(starts, ["project", "__part"])
+    rows = rows.select("project", "__part", "__order", "__photo", _last(F.concat("__start", "__local"), most).alias("__before"))
+    previous = F.element_at(F.col("__before"), -1)
+    rows = rows.withColumn("__gap", F.when(F.size("__before") > 0, gap(previous, F.col("__photo"))))
+    named = F.exists("__before", lambda p: p["stem"] == F.col("__photo")["stem"])
+    cut = F.coalesce((F.col("__gap") > rules.slow_gap) & ~F.coalesce(named, F.lit(False)), F.lit(True))
+
+    # Bit k - 1: whether the photo joins a burst that started k photos before.
+    def bit(anchor: Column, i: Column) -> Column:
+        joins = F.coalesce(burst_match(anchor, previous, F.col("__photo"), rules), F.lit(False))
+        return F.when(joins, F.call_function("shiftleft", F.lit(1), (F.size("__before") - 1 - i).cast("int"))).otherwise(0)
+
+    bits = F.aggregate(F.transform("__before", bit), F.lit(0), lambda s, x: s.bitwiseOR(x))
+    flat = rows.select("project", "__part", "__order", F.col("__photo.id").alias("id"), F.when(cut, 0).otherwise(bits).alias("__bits"), cut.cast("int").alias("__cut"))
+
+    # Runs go on over parts without a cut: their name is that of the last cut.
+    flat = flat.withColumn("__n", F.sum("__cut").over(w))
+    cuts = flat.groupBy("project", "__part").agg(F.max("__n").alias("n"))
+    named_by = F.last(F.when(F.col("n") > 0, F.struct("__part", "n")), ignorenulls=True).over(Window.partitionBy("project").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = cuts.select("project", "__part", named_by.alias("__carried"))
+    run = F.when(F.col("__n") > 0, F.struct(F.col("__part"), F.col("__n").alias("n"))).otherwise(F.col("__carried"))
+    runs = flat.join(carried, ["project", "__part"]).withColumn("__run", run)
+    arrays = runs.groupBy("project", "__run").agg(F.array_sort(F.collect_list(F.struct("__order", "id", F.col("__bits").alias("bits")))).alias("a"))
+    # A photo that joins no burst, wherever one starts, starts one whatever the state: arrays are folded between such photos.
+    alone = F.filter(F.transform("a", lambda x, i: F.when(x["bits"] == 0, i)), lambda i: i.isNotNull())
+    arrays = arrays.withColumn("alone", alone)
+    pieces = F.transform("alone", lambda i, k: F.slice(F.col("a"), i + 1, F.coalesce(F.get(F.col("alone"), k + 1), F.size("a")) - i))
+    arrays = arrays.select("project", F.explode(pieces).alias("a"))
+    start = F.struct(F.array().cast("array<struct<id:bigint,n:int>>").alias("out"), F.lit(0).alias("n"))
 
     def fold(state: Column, item: Column) -> Column:
-        joins = (state["n"] > 0) & (state["n"] < rules.longest) & burst_match(state["anchor"], state["previous"], item, rules)
+        joins = (state["n"] > 0) & (state["n"] < rules.longest) & (F.call_function("shiftright", item["bits"], state["n"] - 1).bitwiseAND(F.lit(1)) == 1)
+        return let(F.when(joins, state["n"] + 1).otherwise(1), lambda n: F.struct(F.array_append(state["out"], F.struct(item["id"].cast("long").alias("id"), n.alias("n"))).alias("out"), n.alias("n")))
 
-        def step(joined: Column) -> Column:
-            anchor = F.when(joined, state["anchor"]).otherwise(item)
-            mark = F.struct(item["id"].cast("long").alias("id"), anchor["id"].cast("long").alias("anchor"))
-            return F.struct(F.array_append(state["out"], mark).alias("out"), anchor.alias("anchor"), item.alias("previous"), F.when(joined, state["n"] + 1).otherwise(1).alias("n"))
+    folded = F.aggregate("a", start, fold, lambda s: s["out"])
+    marked = arrays.select("project", folded.alias("f"))
+    anchored = F.transform("f", lambda x, i: F.struct(x["id"].alias("id"), F.get(F.col("f"), i - x["n"] + 1)["id"].alias("anchor")))
+    return marked.select("project", F.inline(anchored))
 
-        return let(joins, step)
 
-    return arrays.select("project", F.inline(F.aggregate("a", start, fold, lambda s: s["out"])))
+def _last(photos: Column, most: int) -> Column:
+    return F.when(F.size(photos) > most, F.slice(photos, F.greatest(F.size(photos) - most + 1, F.lit(1)), F.lit(most))).otherwise(photos)
 
 
 def burst_winners(segments: DataFrame, metrics: DataFrame) -> DataFrame:
