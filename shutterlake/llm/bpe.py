@@ -23,8 +23,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import pairwise
 from pathlib import Path
 
 import numpy as np
@@ -38,7 +39,10 @@ from shutterlake.llm.common import slices
 #: Longest text, in characters, and longest word, in bytes, encoded in one go.
 LEAF_CHARS, LEAF_BYTES = 8192, 48
 #: Encoded words that a worker keeps at hand; when full it starts anew.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 500_000
+#: Up to this many bytes a list of pairs is looked through for the least rank, beyond it a heap keeps them in order.
+LISTED_BYTES = 32
+NO_RANK = 1 << 30
 #: Cuts that end this far before the end of a text do not depend on what follows: the longest fixed alternative of the rule has three characters.
 CERTAIN = 3
 
@@ -48,6 +52,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in Path(path).read_bytes().splitlines() if line.strip())}
 
 
+class _Words(dict):
+    """Encoded words of the split rule, by their text."""
+
+    def __init__(self, encode_word: Callable[[bytes], list[int]]) -> None:
+        self.encode_word = encode_word
+
+    def __missing__(self, word: str) -> bytes:
+        found = np.array(self.encode_word(word.encode()), "<u4").tobytes()
+        if len(word) < 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = found
+        return found
+
+
 class Bpe:
     """Encoder and decoder for one vocabulary."""
 
@@ -55,7 +74,8 @@ class Bpe:
         self.ranks = ranks
         self.tokens = {i: token for token, i in ranks.items()}
         self.cut = regex.compile(pattern).findall
-        self.words: dict[str, bytes] = {}
+        self.words = _Words(self.encode_word)
+        self.single = [bytes([b]) for b in range(256)]
         self.final = lru_cache(1 << 16)(self._final)
 
     # --- one word ---------------------------------------------------------------
@@ -63,6 +83,18 @@ class Bpe:
     def merge(self, data: bytes) -> list[int]:
         """Ids of a few bytes: the pair of least rank, the leftmost of equal ones, becomes one token until no pair has a rank."""
         ranks, n = self.ranks, len(data)
+        if n <= LISTED_BYTES:
+            rank_of, parts = ranks.get, [self.single[b] for b in data]
+            pairs = [rank_of(x + y, NO_RANK) for x, y in pairwise(parts)]
+            while pairs and (least := min(pairs)) < NO_RANK:
+                i = pairs.index(least)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+                del pairs[i]
+                if i < len(pairs):
+                    pairs[i] = rank_of(parts[i] + parts[i + 1], NO_RANK)
+                if i:
+                    pairs[i - 1] = rank_of(parts[i - 1] + parts[i], NO_RANK)
+            return [ranks[p] for p in parts]
         end = list(range(1, n + 1))  # where the token that starts here ends
         start = list(range(-1, n))  # where the token that ends here starts
         alive = [True] * n
@@ -107,16 +139,6 @@ class Bpe:
         half = len(data) // 2
         return self.join_ids(self.encode_word(data[:half]), self.encode_word(data[half:]))
 
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            found = np.array(self.encode_word(word.encode()), "<u4").tobytes()
-            if len(word) < 64:
-                if len(self.words) >= CACHE_WORDS:
-                    self.words.clear()
-                self.words[word] = found
-        return found
-
     # --- one text ---------------------------------------------------------------
 
     def _cut(self, text: str) -> list[str]:
@@ -157,7 +179,7 @@ class Bpe:
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit numbers."""
-        return b"".join(map(self._word, self._cut(text)))
+        return b"".join(map(self.words.__getitem__, self._cut(text)))
 
     # --- back -------------------------------------------------------------------
 
