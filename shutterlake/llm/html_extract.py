@@ -1,9 +1,13 @@
 """Main text of HTML pages by site template removal.
 
-Pages are cut into element subtrees; the subtrees' hashes are counted per host,
-and those that recur across many pages of the host are deleted together with
-elements whose role is never article text. Pages that are copies of others do
-not count: what they share is their text, not their site's template.
+Pages are cut into element subtrees, which have two hashes: of their tags and
+texts, and of the place they fill (tags, classes and ids from the root down). Both
+are counted per host. Subtrees that recur across many pages of the host are
+deleted, and outside the main text those too that fill a place which many pages
+fill, whatever stands in it today. Lists of tags and roles decide where counts
+cannot: on hosts of few pages, and for parts that only some pages have. Pages
+that are copies of others do not count: what they share is their text, not their
+site's template.
 """
 
 from __future__ import annotations
@@ -28,7 +32,11 @@ from shutterlake.llm.url_filter import split_url
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe template svg noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul xmp".split())
-NEVER = frozenset("head nav header footer aside form button select datalist dialog menu annotation annotation-xml".split()) | RAW
+NEVER = frozenset("head nav header footer aside button select datalist dialog menu annotation annotation-xml".split()) | RAW
+#: Elements that are often no text of an article, but may wrap the whole page.
+SELDOM = frozenset(["form"])
+#: What heads a page's text: a wrapper that holds it and half of the text is no part of the template. One without it must hold MOST_TEXT.
+HEADS, MOST_TEXT = frozenset(["h1", "article", "main"]), 0.9
 CORE = frozenset(["article", "main"])
 #: Elements that carry a text's own wording: inside the article they are text, however often a passage recurs,
 #: but for those of APART where they stand as blocks of their own.
@@ -36,6 +44,11 @@ WORDING = frozenset("a abbr b blockquote br caption cite code dd dt em figcaptio
 APART = frozenset("p li span".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
 ROLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|sidebar|side-bar|widget|related|recommend\w*|share|sharing|social|comment|comments|disqus|replies|breadcrumbs?|pagination|pager|navbar|navigation|menu|masthead|site-header|page-header|site-footer|page-footer|footer|toolbar|login|signup|search)(?:$|[\s_-])", re.I)
+#: Roles of what readers and sponsors add to an article: the only ones that count inside it, and on containers only.
+ADDED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|newsletter|subscribe|related|recommend\w*|share|sharing|social|comment|comments|disqus|replies)(?:$|[\s_-])", re.I)
+REPLIES = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies)(?:$|[\s_-])", re.I)
+#: Words of a class that say what a layout has, not what it is.
+LAYOUT = re.compile(r"\b(?:has|have|no|not|with|without|is|hide|show|above|below|beside)[_-][\w-]*", re.I)
 ATTRIBUTE = re.compile(r"""([^\s=/>"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?>[^>"']+|"[^"]*"|'[^']*'|["'])*+)>""", re.S)
 #: For the rest of a page once a quote in a tag has no end: the next > ends each tag.
@@ -61,6 +74,8 @@ class Node:
     never: bool
     parent: int
     core: bool = False
+    seldom: float = 0.0
+    place: int = 0
 
 
 @dataclass
@@ -148,15 +163,77 @@ def parse(source: str) -> Page:
             at = n if end is None else source.find(">", end.start()) + 1 or n
             continue
         attributes, above = m[3], nodes[stack[-1]]
-        never = tag in NEVER and not (tag == "header" and above.core)
+        never, seldom, named = tag in NEVER and not (tag == "header" and above.core), float(MOST_TEXT if tag in SELDOM else 0), ""
         if not never and attributes and tag not in ("html", "body") and (tag not in CORE or above.core):
-            named = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
-            never = "hidden" in re.findall(r"[\w-]+", ATTRIBUTE.sub("", attributes).lower()) or named.get("aria-hidden", "") == "true" or named.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu") or bool(ROLE.search(f"{named.get('class', '')} {named.get('id', '')}"))
+            said = {k.lower(): a or b or c for k, a, b, c in ATTRIBUTE.findall(attributes)}
+            never = "hidden" in re.findall(r"[\w-]+", ATTRIBUTE.sub("", attributes).lower()) or said.get("aria-hidden", "") == "true"
+            named = f"{said.get('class', '')} {said.get('id', '')}"
+            if not seldom and not (above.core and tag in WORDING):
+                # A section of an article may have its subject's name for an id.
+                role = LAYOUT.sub(" ", said.get("class", "") if above.core and tag == "section" else named)
+                if said.get("role", "") in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu") or (ADDED if above.core else ROLE).search(role):
+                    seldom = 2.0 if REPLIES.search(role) else MOST_TEXT
         never |= above.never
-        nodes.append(Node(tag, never, stack[-1], above.core or tag in CORE and not never))
+        core = above.core or tag in CORE and not never
+        place = 0 if core else xxhash.xxh64_intdigest(f"{above.place} {tag} {named}".encode("utf-8", "surrogatepass"))
+        nodes.append(Node(tag, never, stack[-1], core, seldom, place))
         where[tag].append(len(stack))
         stack.append(len(nodes) - 1)
-    return Page(nodes, texts, owners, starts)
+    page = Page(nodes, texts, owners, starts)
+    if any(node.seldom for node in nodes):
+        settle(page)
+    return page
+
+
+def settle(page: Page) -> None:
+    """Of the elements that seldom hold article text, those that wrap the text of the page, or of their article, are spared."""
+    nodes = page.nodes
+    size, heads = [0] * len(nodes), [n.tag in HEADS for n in nodes]
+    for text, owner in zip(page.texts, page.owners, strict=True):
+        if not nodes[owner].never:
+            size[owner] += len(text.strip())
+    for k in range(len(nodes) - 1, 0, -1):
+        parent = nodes[k].parent
+        size[parent] += size[k]
+        heads[parent] |= heads[k] and size[k] > 0
+    top = [0] * len(nodes)
+    for k, node in enumerate(nodes[1:], 1):
+        above = nodes[node.parent]
+        top[k] = (top[node.parent] if above.core else k) if node.core else 0
+        if node.seldom and not node.never:
+            whole = size[top[node.parent] if above.core else 0]
+            node.never = size[k] < whole * (0.5 if heads[k] else node.seldom) or not size[k]
+        node.never |= above.never
+        node.core = not node.never and (above.core or node.tag in CORE)
+
+
+def places(page: Page) -> np.ndarray:
+    """The hash of the place that each container outside the article fills; 0 for elements without text, of wording, in the article, or that hold a page's heading."""
+    size = lengths(page)
+    out = np.zeros(len(page.nodes), np.uint64)
+    heads = [n.tag == "h1" and not n.never for n in page.nodes]
+    for k in range(len(heads) - 1, 0, -1):
+        heads[page.nodes[k].parent] |= heads[k]
+    for k, node in enumerate(page.nodes):
+        if node.place and size[k] and not heads[k] and node.tag not in WORDING and node.tag not in ("", "html", "body"):
+            out[k] = node.place
+    return out.view(np.int64)
+
+
+def main_path(page: Page, size: np.ndarray) -> list[bool]:
+    """Whether each element is, holds or is in the page's main text: that of article or main, else of the innermost element with half of the page's text."""
+    nodes = page.nodes
+    heart = [n.core and not n.never for n in nodes]
+    if not any(h and size[k] for k, h in enumerate(heart)):
+        best = max((k for k in range(len(nodes)) if 2 * size[k] >= size[0]), default=0)
+        heart = [False] * len(nodes)
+        heart[best] = True
+        for k in range(best + 1, len(nodes)):
+            heart[k] = heart[nodes[k].parent]
+    for k in range(len(nodes) - 1, 0, -1):
+        if heart[k] and size[k]:
+            heart[nodes[k].parent] = True
+    return heart
 
 
 def subtree_hashes(page: Page, wanted: list[bool] | None = None) -> np.ndarray:
@@ -197,11 +274,12 @@ def live_hashes(page: Page) -> np.ndarray:
     return subtree_hashes(page, [n.core for n in page.nodes] if has_core(page) else None)
 
 
-def lengths(page: Page) -> np.ndarray:
-    """Code points of text below each element."""
+def lengths(page: Page, dead: list[bool] | None = None) -> np.ndarray:
+    """Code points of text below each element, without that of dead ones."""
     out = np.zeros(len(page.nodes), np.int64)
     for text, owner in zip(page.texts, page.owners, strict=True):
-        out[owner] += len(text)
+        if not dead or not dead[owner]:
+            out[owner] += len(text)
     for k in range(len(out) - 1, 0, -1):
         out[page.nodes[k].parent] += out[k]
     return out
@@ -220,19 +298,26 @@ def blocks_of_their_own(page: Page) -> np.ndarray:
     return starts[first] & starts[last + 1]
 
 
-def text_of(page: Page, marks: dict[int, int], hashes: np.ndarray | None = None) -> str:
+def text_of(page: Page, marks: dict[int, int], hashes: np.ndarray | None = None, lists: bool = True) -> str:
     """Blocks of article text, decoded, white space folded, joined by an empty line.
 
     marks: what the host's templates may delete (OUTSIDE, INSIDE, WORDS), by
     subtree hash. If the page has an article or main element with text, only
     their text counts, and a template goes if it is less than half of the
-    article; elsewhere if it is less than half of the page. hashes: live_hashes,
-    if known.
+    article; elsewhere if it is less than half of the page and no piece of a
+    block of wording. What fills a place
+    that recurs goes if it neither is, holds nor is in the main text. hashes:
+    live_hashes, if known. Without lists, templates alone decide.
     """
     nodes = page.nodes
     core = has_core(page)
-    dead = [n.never or core and not n.core for n in nodes]
+    dead = [(n.never or core and not n.core) if lists else n.tag in RAW or n.tag == "head" for n in nodes]
     if marks:
+        filled = [k for k, h in enumerate(places(page).tolist()) if h and marks.get(h, 0) & INSIDE]
+        if filled:
+            main = main_path(page, lengths(page, dead))
+            for k in filled:
+                dead[k] |= not main[k]
         found = (live_hashes(page) if hashes is None else hashes).tolist()
         hit = [k for k, h in enumerate(found) if h and not dead[k] and h in marks]
         if hit:
@@ -244,7 +329,7 @@ def text_of(page: Page, marks: dict[int, int], hashes: np.ndarray | None = None)
                         top[k] = top[node.parent] if nodes[node.parent].core else k
             for k in hit:
                 tag = nodes[k].tag
-                bit = OUTSIDE if not core else (WORDS if apart[k] else 0) if tag in APART else 0 if tag in WORDING else INSIDE
+                bit = (0 if tag in WORDING and not apart[k] else OUTSIDE) if not core else (WORDS if apart[k] else 0) if tag in APART else 0 if tag in WORDING else INSIDE
                 dead[k] = bool(marks[found[k]] & bit) and 2 * size[k] < size[top[k]]
     for k, node in enumerate(nodes):
         if node.parent >= 0 and dead[node.parent] and not (core and node.core and not nodes[node.parent].core):
@@ -273,7 +358,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h, _, _, offsets = words(*text_buffer(pa.array(texts, pa.string())))
             s, at = shingles(h, offsets)
             grams = [np.unique(s[a:b])[:GRAMS].view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
-            found = [np.unique(x[x != 0]) for x in map(subtree_hashes, pages)]
+            found = [np.unique(x[x != 0]) for x in (np.concatenate([subtree_hashes(p), places(p)]) for p in pages)]
             keys = np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys), pa.array(grams, longs), pa.array(found, longs)], names=["host", "key", "grams", "hashes"])
 
@@ -318,14 +403,15 @@ def _texts(carry: int, known: tuple[np.ndarray, np.ndarray] | None):
                 else:
                     keys, every = known
                     for page, host in zip(pages, part.column(carry).to_pylist(), strict=True):
-                        marks, h = {}, None
+                        marks, live = {}, None
                         if host and len(keys):
-                            h = live_hashes(page)
+                            live, there = live_hashes(page), places(page)
+                            h = np.concatenate([live, there])
                             mine = mix64(h.view(np.uint64) ^ np.uint64(_host_key(host)))
                             place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
                             hit = np.flatnonzero((keys[place] == mine) & (h != 0))
                             marks = dict(zip(h[hit].tolist(), every[place[hit]].tolist(), strict=True))
-                        texts.append(text_of(page, marks, h))
+                        texts.append(text_of(page, marks, live))
                 names = part.schema.names[:carry]
                 yield pa.RecordBatch.from_arrays([*part.columns[:carry], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, "text", "n_chars"])
 
@@ -368,6 +454,7 @@ def extract(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"), min_p
 def _own_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, "html"):
-            found = [np.unique(h[h != 0]) for h in map(subtree_hashes, map(parse, part.column(3).to_pylist()))]
+            pages = map(parse, part.column(3).to_pylist())
+            found = [np.unique(h[h != 0]) for h in (np.concatenate([subtree_hashes(p), places(p)]) for p in pages)]
             row = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
             yield pa.RecordBatch.from_arrays([*[c.take(row) for c in part.columns[:3]], pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))], names=["host", "k1", "k2", "hash"])

@@ -151,7 +151,7 @@ def pages_by_hand(rows, h=html_extract):
     parsed = [h.parse(t or "") for _, t in rows]
     hosts = [re.split("[/?#]", u.split("://", 1)[1])[0].lower() if u and "://" in u else "" for u, _ in rows]
     plain = [h.text_of(p, {}) for p in parsed]
-    subtrees = [set(h.subtree_hashes(p).tolist()) - {0} for p in parsed]
+    subtrees = [set(h.subtree_hashes(p).tolist() + h.places(p).tolist()) - {0} for p in parsed]
     texts, grams = {}, {}
     for host, t, s in zip(hosts, plain, subtrees, strict=True):
         if host and (host, t) not in texts:
