@@ -50,12 +50,22 @@ def relink(albums: DataFrame, entries: DataFrame, projects: DataFrame, photos: D
     living = projects.select("project").distinct()
     orphans = albums.join(living, "project", "left_anti").select("gallery", F.lower("folder").alias("__f"))
     own = entries.join(orphans, "gallery").groupBy("gallery", "__f", F.coalesce("remote_id", "photo_id").alias("remote_id")).agg(F.max(F.struct("filename", "selection", "note")).alias("__e")).select("gallery", "__f", "remote_id", "__e.*")
+    own = own.withColumn("__k", F.lower("filename"))
     sizes = own.groupBy("gallery").agg(F.count(F.lit(1)).alias("__n"))
+    needed = F.greatest(F.lit(1), F.floor(RELINK_SHARE * F.col("__n") + 0.999))
     names = photos.where(F.coalesce("filename", F.lit("")) != "").groupBy("project", F.lower("filename").alias("__k")).agg(F.min("photo_id").alias("__new"))
-    met = own.withColumn("__k", F.lower("filename")).join(names, "__k")
-    counted = met.groupBy("gallery", "project", "__f").agg(F.count(F.lit(1)).alias("__m")).join(sizes, "gallery").join(projects.select("project", F.lower("folder").alias("__pf")), "project")
+    # A project that holds `needed` of n entries holds one of any n - needed + 1: of those with the rarest names. Names that every camera gives meet few projects so.
+    often = names.groupBy("__k").agg(F.count(F.lit(1)).alias("__often"))
+    rare = F.row_number().over(Window.partitionBy("gallery").orderBy(F.coalesce("__often", F.lit(0)), "__k", "remote_id"))
+    ranked = own.join(often, "__k", "left").withColumn("__rank", rare).join(sizes, "gallery")
+    by_name = ranked.where(F.col("__often").isNotNull() & (F.col("__rank") <= F.col("__n") - needed + 1)).select("gallery", "__k").join(names.select("project", "__k"), "__k").select("gallery", "project")
+    homes = projects.select("project", F.lower("folder").alias("__pf"))
+    by_folder = orphans.where("__f != ''").join(homes, F.col("__f") == F.col("__pf")).select("gallery", "project")
+    candidates = by_name.unionByName(by_folder).distinct()
+    met = own.join(candidates, "gallery").join(names, ["project", "__k"])
+    counted = met.groupBy("gallery", "project", "__f").agg(F.count(F.lit(1)).alias("__m")).join(sizes, "gallery").join(homes, "project")
     same = F.coalesce((F.col("__f") != "") & (F.col("__f") == F.col("__pf")), F.lit(False))
-    fits = counted.where(same | (F.col("__m") >= F.greatest(F.lit(1), F.floor(RELINK_SHARE * F.col("__n") + 0.999))))
+    fits = counted.where(same | (F.col("__m") >= needed))
     chosen = fits.groupBy("gallery").agg(F.min_by("project", F.struct(~same, -F.col("__m"), "project")).alias("project"))
     carried = F.struct(F.coalesce(F.nullif("selection", F.lit("")), F.lit("UNRATED")).alias("selection"), F.coalesce("note", F.lit("")).alias("note"), "filename", "remote_id")
     return met.join(chosen, ["gallery", "project"]).groupBy("gallery", "project", F.col("__new").alias("photo_id")).agg(F.max_by(carried, "remote_id").alias("r")).select("gallery", "project", "photo_id", "r.*")
