@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shutterlake.functions import kernels
 from shutterlake.functions.images import blend_weights
-from shutterlake.operators import tiles
+from shutterlake.operators import straighten, tiles
 from shutterlake.operators import white_balance as wb
 
 
@@ -178,3 +178,39 @@ def test_gains_keep_neutral_and_range(spark):
     df = spark.createDataFrame([(128.0, 1.0), (250.0, 1.5), (250.0, 0.7), (0.0, 3.0), (40.0, None)], "c double, g double")
     got = [r[0] for r in df.select(wb.balanced_in_light(F.col("c"), F.col("g"))).collect()]
     assert abs(got[0] - 128) < 0.6 and 250 < got[1] <= 255 and got[2] < 250 and got[3] == 0 and got[4] == 40
+
+
+# --- straighten angle -------------------------------------------------------------
+
+
+def stripes(tilt, level=False, height=260, width=320):
+    """Wide stripes that lean counter-clockwise by a tilt in degrees, with a little noise."""
+    y, x = np.mgrid[0:height, 0:width].astype(float)
+    s = np.tan(np.radians(tilt))
+    across = y + x * s if level else x - y * s
+    return np.where(np.floor(across / 40) % 2 == 0, 200.0, 40.0) + np.random.default_rng(1).random((height, width)) * 5
+
+
+def test_straighten_angle_of_known_tilts(spark):
+    cases = {"up 2": (stripes(2.0), -2.0), "up -1.5": (stripes(-1.5), 1.5), "up 0": (stripes(0.0), 0.0), "up 4.5": (stripes(4.5), -3.0), "level 2": (stripes(2.0, True), -2.0), "level -1": (stripes(-1.0, True), 1.0), "steep": (stripes(20.0), 0.0), "noise": (np.random.default_rng(2).random((260, 320)) * 255, 0.0), "flat": (np.full((260, 320), 90.0), 0.0)}
+    df = None
+    for name, (a, _) in cases.items():
+        own = table_of(spark, name, grey=a)
+        df = own if df is None else df.unionByName(own)
+    got = {r.image: r for r in straighten.straighten_angles(df, rules=straighten.LineRules(least_votes=200)).collect()}
+    assert {k: r.angle for k, r in got.items()} == {k: want for k, (_, want) in cases.items()}
+    assert got["flat"].n_lines == 0 and got["up 2"].n_lines >= 5
+
+
+def test_lines_must_agree(spark):
+    sizes = spark.createDataFrame([(i, 100, 100) for i in range(7)], "image int, width int, height int")
+    rows = [(0, True, t, 60.0) for t in (1.0, 1.0, 2.0)]  # the median by length
+    rows += [(1, True, t, 60.0) for t in (-4.0, 0.0, 4.0)]  # no agreement
+    rows += [(2, True, t, 60.0) for t in (1.0, 1.0)]  # too few
+    rows += [(3, True, 1.0, 30.0)] * 3  # too short in all
+    rows += [(4, False, -1.0, 60.0)] * 3 + [(4, False, 4.0, 30.0)] * 9  # short level lines do not count
+    rows += [(5, True, 7.0, 60.0)] * 3  # too steep to be a tilt
+    found = spark.createDataFrame(rows, "image int, upright boolean, tilt double, length double")
+    assert {r.image: (r.upright, r.tilt) for r in straighten.agreed_tilt(found, sizes).collect()} == {0: (True, 1.0), 4: (False, -1.0)}
+    got = [r[0] for r in spark.createDataFrame([(0.4,), (0.5,), (-2.0,), (4.0,), (None,)], "t double").select(straighten.correction(F.col("t"), straighten.LineRules())).collect()]
+    assert got == [0.0, -0.5, 2.0, -3.0, 0.0]
