@@ -96,12 +96,12 @@ def blended_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Stripes of a slope of their own lie over each image, so that there are lines to find.
 _STRIPES = "case when pmod(x * 50 + y * (image % 5 - 2), 500) < 250 then r / 64 else 190 + r / 64 end"
-_RULES = straighten.LineRules(edge=160.5, least_votes=100)
+_RULES = straighten.LineRules(edge=300.5, least_votes=100)
 _TURNS = ", ".join(f"({up}, {t}, {cos(radians(t * 0.5))!r}::DOUBLE, {sin(radians(t * 0.5))!r}::DOUBLE)" for up in (True, False) for t in range(-10, 11))
 
 
 @query(f"""WITH {_PIXELS}, y AS (SELECT image, x, y, {_STRIPES.replace("pmod(x * 50 + y * (image % 5 - 2), 500)", "(x * 50 + y * (image % 5 - 2) + 35000) % 500")} AS v FROM px), {_pad("pad", "y", "v", 2, 0)}, {_conv("s", "pad", ("v",), np.array([0.25, 0.5, 0.25]))}, sobel(dx, dy, wx, wy) AS (VALUES {", ".join(f"({dx}, {dy}, {dx * (2 - abs(dy))}, {dy * (2 - abs(dx))})" for dx in (-1, 0, 1) for dy in (-1, 0, 1))}),
-e AS (SELECT image, px - dx AS x, py - dy AS y FROM s, sobel GROUP BY ALL HAVING count(*) = 9 AND sqrt(pow(sum(v * wx), 2) + pow(sum(v * wy), 2)) >= 160.5), turns(up, tilt, c, s) AS (VALUES {_TURNS}),
+e AS (SELECT image, px - dx AS x, py - dy AS y FROM s, sobel GROUP BY ALL HAVING count(*) = 9 AND sqrt(pow(sum(v * wx), 2) + pow(sum(v * wy), 2)) >= 300.5), turns(up, tilt, c, s) AS (VALUES {_TURNS}),
 v AS (SELECT image, up, tilt, round(CASE WHEN up THEN x * c - y * s ELSE y * c + x * s END)::INT AS rho, count(*) AS votes FROM e, turns GROUP BY ALL HAVING count(*) >= 100),
 l AS (SELECT * FROM v a WHERE NOT EXISTS (SELECT 1 FROM v b WHERE b.image = a.image AND b.up = a.up AND abs(b.tilt - a.tilt) <= 1 AND abs(b.rho - a.rho) <= 1 AND (b.votes, -b.tilt, -b.rho) > (a.votes, -a.tilt, -a.rho))),
 f AS (SELECT image, up, tilt * 0.5 AS tilt, votes AS len, w, h, sum(votes) OVER (PARTITION BY image, up) AS total, count(*) OVER (PARTITION BY image, up) AS n, sum(votes) OVER (PARTITION BY image, up ORDER BY tilt) AS so_far FROM l JOIN sz USING (image) WHERE up OR votes >= 0.35 * w),
