@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions import kernels
-from shutterlake.operators import straighten, tiles
+from shutterlake.operators import straighten, strokes, tiles
 from shutterlake.operators import white_balance as wb
 from shutterlake.plans.registry import query
 from shutterlake.sources.tables import table
@@ -215,3 +215,45 @@ def white_balance_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = p.withColumn("gains", wb.effective_gains(F.col("gains"), F.col("image") % 4 * 50.0, F.lit(True)))
     made = [wb.balanced_in_light(F.col(c), F.get("gains", F.lit(k))).alias(c) for k, c in enumerate("rgb")]
     return p.select("image", *made).groupBy("image").agg(*[F.sum(F.floor(F.col(c) * 100 + 0.001)).cast("long").alias(c) for c in "rgb"])
+
+
+# --- mask strokes ---------------------------------------------------------------
+
+#: Events as the log of an editor: who acts on which image, and each added stroke's path and size.
+_LOG = {
+    "image": "user_id % 400",
+    "seq": "event_id",
+    "action": "case event_id % 7 when 3 then 'undo' when 5 then 'redo' when 6 then case when event_id % 31 = 0 then 'clear' else 'undo' end else 'add' end",
+    "x0": "event_id % 10 / 10.0D",
+    "y0": "event_id % 9 / 9.0D",
+    "x1": "event_id % 8 / 8.0D",
+    "radius": "0.03D + event_id % 5 * 0.02D",
+    "heal": "event_id % 3 = 0",
+}
+_LOG_SQL = ", ".join(f"{e.replace('.0D', '.0').replace('3D', '3').replace('2D', '2')} AS {k}" for k, e in _LOG.items())
+_STANDING = f"""RECURSIVE log AS (SELECT {_LOG_SQL} FROM events), live AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY seq) AS i FROM log a WHERE seq > coalesce((SELECT max(seq) FROM log b WHERE b.image = a.image AND b.action = 'clear'), -1)),
+fold AS (SELECT image, 0::BIGINT AS i, []::BIGINT[] AS done, []::BIGINT[] AS undone FROM (SELECT DISTINCT image FROM live)
+UNION ALL SELECT f.image, l.i, CASE l.action WHEN 'add' THEN list_append(done, l.seq) WHEN 'undo' THEN done[:len(done) - 1] WHEN 'redo' THEN CASE WHEN len(undone) > 0 THEN list_append(done, undone[-1]) ELSE done END ELSE done END,
+CASE l.action WHEN 'add' THEN [] WHEN 'undo' THEN CASE WHEN len(done) > 0 THEN list_append(undone, done[-1]) ELSE undone END WHEN 'redo' THEN undone[:len(undone) - 1] ELSE undone END FROM fold f JOIN live l ON l.image = f.image AND l.i = f.i + 1),
+ended AS (SELECT image, arg_max(done, i) AS done FROM fold GROUP BY image), standing AS (SELECT image, unnest(done) AS seq, unnest(range(len(done)))::INT AS place FROM ended)"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events", "event_id", "user_id").selectExpr(*[f"{e} as {k}" for k, e in _LOG.items()])
+
+
+@query(f"WITH {_STANDING} SELECT image, seq, place FROM standing")
+def standing_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strokes of each image that stand after undo and redo."""
+    return strokes.standing_strokes(_log(spark, sf_dir))
+
+
+@query(f"""WITH {_STANDING}, s AS (SELECT st.image, place, heal, greatest(2, floor(radius * 40)) AS r, floor(least(x0 * 60, 59)) AS ax, floor(least(y0 * 40, 39)) AS ay, floor(least(x1 * 60, 59)) AS bx FROM standing st JOIN log USING (image, seq)),
+g AS (SELECT *, unnest(range(60)) AS x FROM (SELECT *, unnest(range(40)) AS y FROM s)), c AS (SELECT DISTINCT image, place, heal, x, y FROM g WHERE pow(x - greatest(least(ax, bx), least(greatest(ax, bx), x)), 2) + pow(y - ay, 2) <= r * r),
+m AS (SELECT image, x, y, arg_max(heal, place) AS heal FROM c GROUP BY ALL) SELECT image, count(*) AS touched, sum(CASE WHEN heal THEN 1 ELSE 0 END)::DOUBLE AS mask FROM m GROUP BY image""")
+def stroke_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pixels of each mask hard strokes touch, and the sum of the mask there."""
+    log = _log(spark, sf_dir)
+    spot = lambda x: F.struct(F.col(x).alias("x"), F.col("y0").alias("y"))
+    painted = strokes.standing_strokes(log).join(log.drop("action"), ["image", "seq"]).select("image", "place", F.array(spot("x0"), spot("x1")).alias("points"), "radius", "heal", F.lit(0.0).alias("softness"), F.lit(60).alias("width"), F.lit(40).alias("height"))
+    return strokes.painted_mask(painted).groupBy("image").agg(F.count(F.lit(1)).alias("touched"), F.sum("mask").alias("mask"))
