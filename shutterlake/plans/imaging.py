@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterlake.functions import kernels
-from shutterlake.operators import straighten, strokes, tiles
+from shutterlake.operators import face_geometry, straighten, strokes, tiles
 from shutterlake.operators import white_balance as wb
 from shutterlake.plans.registry import query
 from shutterlake.sources.tables import table
@@ -257,3 +257,65 @@ def stroke_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     spot = lambda x: F.struct(F.col(x).alias("x"), F.col("y0").alias("y"))
     painted = strokes.standing_strokes(log).join(log.drop("action"), ["image", "seq"]).select("image", "place", F.array(spot("x0"), spot("x1")).alias("points"), "radius", "heal", F.lit(0.0).alias("softness"), F.lit(60).alias("width"), F.lit(40).alias("height"))
     return strokes.painted_mask(painted).groupBy("image").agg(F.count(F.lit(1)).alias("touched"), F.sum("mask").alias("mask"))
+
+
+# --- faces ----------------------------------------------------------------------
+
+#: Customers as faces, four on an image of 120 x 90 pixels: eyes apart by 6 to 14 pixels and tilted, the other landmarks below them.
+_FACE = {
+    "image": "cast(floor(c_custkey / 4) as bigint)",
+    "face": "c_custkey",
+    "lx": "5.0 + c_custkey * 7 % 100",
+    "ly": "10.0 + c_custkey * 11 % 60",
+    "d": "6.0 + c_custkey % 9",
+    "t": "c_custkey % 5 - 2.0",
+}
+_FACE_SQL = f"""c0 AS (SELECT {", ".join(f"{e.replace('5.0 +', '5.0::DOUBLE +').replace('10.0 +', '10.0::DOUBLE +').replace('6.0 +', '6.0::DOUBLE +').replace('- 2.0', '- 2.0::DOUBLE')} AS {k}" for k, e in _FACE.items())} FROM customer),
+c1 AS (SELECT *, lx + d AS rx, ly + t AS ry, lx + d / 2 - t AS nx, ly + d / 2 AS ny, lx + d * 0.1 - t AS mlx, ly + d AS mly, lx + d * 0.9 - t AS mrx, ly + d + t AS mry, lx - d * 0.7 AS bx, ly - d AS by_, d * 2.3 AS bw, d * 3.1 AS bh FROM c0),
+c2 AS (SELECT *, greatest(sqrt(pow(rx - lx, 2) + pow(ry - ly, 2)), 1.0) AS iod, (lx + rx) / 2 AS ox, (ly + ry) / 2 AS oy, (mlx + mrx) / 2 AS mx, (mly + mry) / 2 AS my, sqrt(pow(mrx - mlx, 2) + pow(mry - mly, 2)) AS mw FROM c1),
+fr AS (SELECT *, (rx - lx) / iod AS ux, (ry - ly) / iod AS uy, mw / iod / 2 AS mh FROM c2)"""
+_PARTS = {**face_geometry.FEATURES, **face_geometry.EYE_BAGS, **face_geometry.SAMPLES}
+_ANCHOR = {"left": ("lx", "ly"), "right": ("rx", "ry"), "nose": ("nx", "ny"), "mouth": ("mx", "my"), "origin": ("ox", "oy")}
+
+
+def _part_sql(part: str, anchor: str, offset: tuple[float, float], axes: tuple) -> str:
+    (x, y), (u, v) = _ANCHOR[anchor], offset
+    ax, ay = (f"(mh + {a[1]})" if isinstance(a, tuple) else f"{a}" for a in axes)
+    least = 2 if part in face_geometry.SAMPLES else 1
+    whole = lambda e: f"round_even(({e})::DOUBLE, 0)"
+    return f"SELECT image, face, ux, uy, '{part}' AS part, {whole(f'{x} + iod * ({u} * ux - {v} * uy)')} AS cx, {whole(f'{y} + iod * ({u} * uy + {v} * ux)')} AS cy, greatest({whole(f'{ax} * iod')}, {least}) AS ax, greatest({whole(f'{ay} * iod')}, {least}) AS ay FROM fr"
+
+
+_OVAL_SQL = """SELECT image, face, ux, uy, 'oval' AS part, round_even(ox + iod * (cu * ux - cv * uy), 0) AS cx, round_even(oy + iod * (cu * uy + cv * ux), 0) AS cy, greatest(round_even(least(greatest(bw * 0.48 / iod, 0.95), 1.6) * iod, 0), 1) AS ax, greatest(round_even((b + 1.10) / 2 * iod, 0), 1) AS ay
+FROM (SELECT *, (b - 1.10) / 2 AS cv, least(greatest(((bx + bw / 2 - ox) * ux + (by_ + bh / 2 - oy) * uy) / iod, -0.45), 0.45) AS cu FROM (SELECT *, least(greatest(((my - oy) * ux - (mx - ox) * uy) / iod, 0.8), 1.5) + 0.62 AS b FROM fr))"""
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer", "c_custkey").selectExpr(*[f"cast({e} as {'bigint' if k in ('image', 'face') else 'double'}) as {k}" for k, e in _FACE.items()])
+    at = lambda x, y: f"struct({x} as x, {y} as y)"
+    marks = {"left": at("lx", "ly"), "right": at("lx + d", "ly + t"), "nose": at("lx + d / 2 - t", "ly + d / 2"), "mouth_left": at("lx + d * 0.1D - t", "ly + d"), "mouth_right": at("lx + d * 0.9D - t", "ly + d + t"), "box": "struct(lx - d * 0.7D as x, ly - d as y, d * 2.3D as w, d * 3.1D as h)"}
+    return face_geometry.face_frames(c.selectExpr("image", "face", *[f"{e} as {k}" for k, e in marks.items()]))
+
+
+def _sizes(frames: DataFrame) -> DataFrame:
+    return frames.select("image").distinct().withColumns({"width": F.lit(120), "height": F.lit(90)})
+
+
+@query(f"""WITH {_FACE_SQL}, e AS ({" UNION ALL ".join(_part_sql(p, *s) for p, s in _PARTS.items())} UNION ALL {_OVAL_SQL}),
+y AS (SELECT *, unnest(range(greatest(cy - greatest(ax, ay), 0)::INT, least(cy + greatest(ax, ay), 89)::INT + 1)) AS y FROM e), p AS (SELECT *, unnest(range(greatest(cx - greatest(ax, ay), 0)::INT, least(cx + greatest(ax, ay), 119)::INT + 1)) AS x FROM y)
+SELECT part, face, count(*) AS pixels, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys FROM p WHERE pow(((x - cx) * ux + (y - cy) * uy) / ax, 2) + pow(((y - cy) * ux - (x - cx) * uy) / ay, 2) <= 1 + 1e-9 GROUP BY part, face""")
+def face_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pixels each part of each face covers, and where."""
+    frames = _frames(spark, sf_dir)
+    shapes = face_geometry.part_ellipses(frames, {**face_geometry.FEATURES, **face_geometry.EYE_BAGS}).unionByName(face_geometry.part_ellipses(frames, face_geometry.SAMPLES, least=2)).unionByName(face_geometry.face_ovals(frames))
+    inside = face_geometry.ellipse_pixels(shapes, _sizes(frames))
+    return inside.groupBy("part", "face").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").cast("long").alias("xs"), F.sum("y").cast("long").alias("ys"))
+
+
+@query(f"""WITH {_FACE_SQL}, px AS (SELECT image, x, y FROM (SELECT DISTINCT image FROM fr), (SELECT unnest(range(0, 120, 5)) AS x), (SELECT unnest(range(0, 90, 5)) AS y)),
+o AS (SELECT px.*, face, row_number() OVER (PARTITION BY px.image, x, y ORDER BY sqrt(pow(x - ox, 2) + pow(y - oy, 2)) / iod, face) AS i FROM px JOIN fr USING (image)) SELECT face AS owner, count(*) AS pixels, sum(x + y)::BIGINT AS places FROM o WHERE i = 1 GROUP BY face""")
+def face_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pixels of a grid over each image are nearest to each face."""
+    frames = _frames(spark, sf_dir)
+    grid = _sizes(frames).select("image", F.explode(F.sequence(F.lit(0), F.lit(119), F.lit(5))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(89), F.lit(5))))
+    return face_geometry.owners(grid, frames).groupBy("owner").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("x") + F.col("y")).cast("long").alias("places"))
