@@ -73,7 +73,10 @@ def burst_segments(items: DataFrame, rules: BurstRules = BurstRules()) -> DataFr
     """
     most = rules.longest - 1
     order = [F.coalesce("ts", F.lit(0.0)), F.coalesce("seq", F.lit(0)), "filename", "id"]
-    part = F.struct(F.floor(F.coalesce("ts", F.lit(0.0)) / PART_SECONDS).alias("time"), F.when(F.col("ts").isNull(), F.floor(F.coalesce("seq", F.lit(0)) / PART_NUMBERS)).otherwise(0).alias("number"))
+    # Parts lie in the order of their photos: at time 0 by number, and all that is later in those ten minutes behind.
+    at, nil = F.coalesce("ts", F.lit(0.0)), F.lit(0).cast("long")
+    number = F.when(at == 0, F.floor(F.coalesce("seq", F.lit(0)) / PART_NUMBERS)).otherwise(nil)
+    part = F.struct(F.floor(F.nanvl(at, F.lit(float("inf"))) / PART_SECONDS).alias("time"), (at > 0).alias("later"), number.alias("number"))
     photo = F.struct(*_ITEM)
     placed = items.select("project", part.alias("__part"), F.struct(*[F.col(o) if isinstance(o, str) else o for o in order]).alias("__order"), photo.alias("__photo"))
 
