@@ -18,7 +18,7 @@ def moved(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["burst_segments", "burst_winner", "cull_project"])
+@pytest.mark.parametrize("name", ["burst_segments", "burst_winner", "cull_project", "recluster_project"])
 def test_bursts_over_parts_by_number(spark, moved, name):
     found = catalog.queries()[name](spark, moved)
     columns = sorted(found.columns)
