@@ -153,6 +153,12 @@ def hue_saturation(r: Column, g: Column, b: Column) -> tuple[Column, Column]:
     return F.coalesce(hue, F.lit(0.0)), F.coalesce(255.0 * (high - low) / F.nullif(high, F.lit(0)), F.lit(0.0))
 
 
+def saturation_share(r: Column, g: Column, b: Column) -> Column:
+    """Saturation from 0 to 1, by one division; 0 for black."""
+    high, low = F.greatest(r, g, b), F.least(r, g, b)
+    return F.coalesce((high - low) / F.nullif(high, F.lit(0)), F.lit(0.0))
+
+
 def hsv_histogram(pixels: DataFrame, key: str, hues: int = 8, saturations: int = 4) -> DataFrame:
     """pixels(key, r, g, b) -> key, bin, share: each bin's count from 0 (the least) to 1 (the most). Pixels are counted by bin on the map side."""
     hue, saturation = hue_saturation(F.col("r"), F.col("g"), F.col("b"))

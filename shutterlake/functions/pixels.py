@@ -60,9 +60,8 @@ def balanced(r: Column, g: Column, b: Column, temperature: Column, tint: Column)
 
 
 def vibrant(saturation: Column, skin: Column, vibrance: Column, more: Column) -> Column:
-    """Saturation from 0 to 255 after vibrance, which lifts what is pale and spares skin (0 to 1), and then plain saturation."""
-    s = saturation / 255
-    lifted = s + F.when(F.abs(vibrance) > 0.1, (1 - s) * (vibrance / 100 * VIBRANCE) * (1 - skin * SPARED)).otherwise(0.0)
+    """Saturation (given from 0 to 1) from 0 to 255 after vibrance, which lifts what is pale and spares skin (0 to 1), and then plain saturation."""
+    lifted = saturation + F.when(F.abs(vibrance) > 0.1, (1 - saturation) * (vibrance / 100 * VIBRANCE) * (1 - skin * SPARED)).otherwise(0.0)
     return clip(lifted * F.when(F.abs(more) > 0.1, (100 + more) / 100).otherwise(1.0) * 255, 0.0, 255.0)
 
 

@@ -52,7 +52,7 @@ def temperature_tint(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT image, sum(floor(least(greatest((s + CASE WHEN abs(temperature) > 0.1 THEN (1 - s) * (temperature / 100 * 0.40) * (1 - mask * 0.70) ELSE 0 END) * CASE WHEN abs(tint) > 0.1 THEN (100 + tint) / 100 ELSE 1 END * 255, 0), 255) * 100 + 0.001))::BIGINT AS saturation FROM s GROUP BY image""")
 def vibrance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sums of saturation, in hundredths, after vibrance that spares skin."""
-    _, saturation = C.hue_saturation(F.col("r"), F.col("g"), F.col("b"))
+    saturation = C.saturation_share(F.col("r"), F.col("g"), F.col("b"))
     rows = _pixels(spark, sf_dir).select("image", P.vibrant(saturation, F.col("mask"), F.col("temperature"), F.col("tint")).alias("s"))
     return rows.groupBy("image").agg(F.sum(F.floor(F.col("s") * 100 + 0.001)).cast("long").alias("saturation"))
 

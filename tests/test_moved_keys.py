@@ -28,3 +28,13 @@ def test_bursts_over_parts_by_number(spark, moved, name):
     names = [d[0] for d in result.description]
     want = normal([dict(zip(names, r, strict=True)) for r in result.fetchall()], columns)
     assert normal([r.asDict() for r in found.collect()], columns) == want
+
+
+def test_vibrance_at_a_hundredth(spark, tmp_path):
+    """A sum of saturation that falls below a whole hundredth if a share is scaled to 255 and back."""
+    rows = [(792162, n, p, s) for n, p, s in [(2, 116967, 5920), (3, 113706, 5399), (2, 116591, 5159), (4, 108345, 5756), (3, 108173, 5664), (5, 107934, 5987)]]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(catalog.oracle_sql()["vibrance"]).fetchall()
+    assert [tuple(r) for r in catalog.queries()["vibrance"](spark, str(tmp_path)).collect()] == want
