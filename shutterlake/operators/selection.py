@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,16 +80,24 @@ def not_in(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def or_match(left: DataFrame, right: DataFrame, keys: dict[str, str], left_id: str, right_id: str) -> DataFrame:
-    """Distinct pairs of ids whose rows agree on any key; empty and null keys agree with nothing. One equi-join per key, never an OR join."""
+    """Distinct pairs of ids whose rows agree on any key; empty and null keys agree with nothing. One equi-join per key, never an OR join.
+
+    Pairs are not shuffled to become distinct: each side is one row per id with
+    the set of its keys, and a pair comes from the first key that both agree on,
+    by its least common value.
+    """
+    def side(rows: DataFrame, id_: str, names: Iterable[str], one: str) -> DataFrame:
+        return rows.groupBy(F.col(id_).alias(one)).agg(*[F.collect_set(F.when(F.col(c) != "", F.col(c))).alias(f"__{one}{i}") for i, c in enumerate(names)])
+
+    x, y = side(left, left_id, keys.keys(), "l"), side(right, right_id, keys.values(), "r")
     parts = []
-    for a, b in keys.items():
-        x = left.where(F.col(a).isNotNull() & (F.col(a) != "")).select(F.col(left_id).alias("l"), F.col(a).alias("k"))
-        y = right.where(F.col(b).isNotNull() & (F.col(b) != "")).select(F.col(right_id).alias("r"), F.col(b).alias("k"))
-        parts.append(x.join(y, "k").select("l", "r"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    for i in range(len(keys)):
+        both = x.withColumn("__k", F.explode(f"__l{i}")).join(y.withColumn("__k", F.explode(f"__r{i}")), "__k")
+        first = (F.size(f"__l{i}") == 1) | (F.size(f"__r{i}") == 1) | (F.col("__k") == F.array_min(F.array_intersect(f"__l{i}", f"__r{i}")))
+        for before in range(i):
+            first &= ~F.arrays_overlap(f"__l{before}", f"__r{before}")
+        parts.append(both.where(first).select("l", "r"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def band_join(left: DataFrame, right: DataFrame, a: str, b: str, width: int) -> DataFrame:

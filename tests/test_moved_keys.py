@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from shutterlake.operators import selection
 from shutterlake.plans import catalog
 from tests.test_queries import SF, normal
 
@@ -38,3 +39,16 @@ def test_vibrance_at_a_hundredth(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     want = con.execute(catalog.oracle_sql()["vibrance"]).fetchall()
     assert [tuple(r) for r in catalog.queries()["vibrance"](spark, str(tmp_path)).collect()] == want
+
+
+def test_pairs_by_either_key_come_once_without_a_shuffle_of_pairs(spark):
+    """Ids with several rows, several common keys, null and empty keys."""
+    rows = [[(i % 40, None if i % 11 == 0 else f"m{i * k % 5}" if i % 7 else "", f"p{i * k % 9}" if i % 5 else None) for i in range(60)] for k in (3, 4)]
+    left, right = (spark.createDataFrame(r, f"{n} int, mail string, phone string") for r, n in zip(rows, "ab", strict=True))
+    found = selection.or_match(left, right, {"mail": "mail", "phone": "phone"}, "a", "b")
+    agree = lambda u, v: u is not None and u != "" and u == v
+    want = {(a, b) for a, m, p in rows[0] for b, n, q in rows[1] if agree(m, n) or agree(p, q)}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Union") < plan.index("Aggregate")  # nothing is aggregated above the pairs
