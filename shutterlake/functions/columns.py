@@ -13,6 +13,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def parts(rows: DataFrame, most: int) -> int:
+    """How many parts of about `most` rows each."""
+    return max(1, -(-rows.count() // most))
+
+
 # --- text -------------------------------------------------------------------
 
 #: What a stem leaves out, in this order (extension, edit marks, copy marks, counters in brackets),

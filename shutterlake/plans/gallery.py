@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shutterlake.functions.columns import normal_url, renamed, sequence_number, stem
+from shutterlake.functions.columns import normal_url, parts, renamed, sequence_number, stem
 from shutterlake.operators import rules, selection
 from shutterlake.operators.selection import effective
 from shutterlake.plans.registry import query
 from shutterlake.sources.tables import bridge, photos, table
 
+#: Album entries that one task joins with their photos.
+ENTRIES_A_TASK = 250_000
 _WINNER = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY group_id ORDER BY user_selection = 'BEST' DESC, ai_recommendation = 'BEST' DESC, ai_score DESC, photo_id) AS rn FROM photos) WHERE rn = 1"
 
 
@@ -53,9 +55,12 @@ def client_existence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH CATALOG SELECT gallery_id, count(*) AS photos, count(DISTINCT b.photo_id) AS different, round(sum(ai_score), 2) AS score FROM bridge b JOIN photos p ON b.photo_id = p.photo_id GROUP BY gallery_id")
 def album_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Album entries with their photos."""
-    j = bridge(spark, sf_dir).join(photos(spark, sf_dir).select("photo_id", "ai_score"), "photo_id")
-    return j.groupBy("gallery_id").agg(F.count(F.lit(1)).alias("photos"), F.countDistinct("photo_id").alias("different"), F.round(F.sum("ai_score"), 2).alias("score"))
+    """Album entries with their photos, in so many parts by photo that a task's work stays the same; a photo's entries in an album are counted in its part."""
+    entries = bridge(spark, sf_dir).select("gallery_id", "photo_id")
+    n = parts(entries, ENTRIES_A_TASK)
+    j = entries.repartition(n, "photo_id").join(photos(spark, sf_dir).select("photo_id", "ai_score").repartition(n, "photo_id"), "photo_id")
+    once = j.groupBy("gallery_id", "photo_id").agg(F.count(F.lit(1)).alias("n"), F.sum("ai_score").alias("score"))
+    return once.groupBy("gallery_id").agg(F.sum("n").alias("photos"), F.count("photo_id").alias("different"), F.round(F.sum("score"), 2).alias("score"))
 
 
 @query("""WITH CATALOG SELECT s_suppkey AS gallery_id, s_name AS title, count(b.photo_id) AS total, count(CASE WHEN choice = 'SELECTED' THEN 1 END) AS selected FROM supplier LEFT JOIN bridge b ON gallery_id = s_suppkey AND note = 'O' GROUP BY s_suppkey, s_name""")
