@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shutterlake.functions import columns as C
 from shutterlake.functions import kernels
 from shutterlake.operators import face_geometry, straighten, strokes, tiles
 from shutterlake.operators import white_balance as wb
@@ -15,6 +16,8 @@ from shutterlake.plans.registry import query
 from shutterlake.sources.tables import table
 
 ROWS, COLUMNS = 120, 21
+#: Faces whose shapes one task works on.
+FACES_A_TASK = 5_000
 #: How vectors become images, in expressions that Spark and DuckDB read alike; each image has a cast, one corner that is no grey, and every other one a patch of skin.
 _IMAGE = {
     "image": "cast(floor(vec_id / 120) as bigint)",
@@ -297,6 +300,11 @@ def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return face_geometry.face_frames(c.selectExpr("image", "face", *[f"{e} as {k}" for k, e in marks.items()]))
 
 
+def _spread(frames: DataFrame) -> DataFrame:
+    """Frames by image in so many parts that a task's work stays the same however many faces there are."""
+    return frames.repartition(C.parts(frames, FACES_A_TASK), "image")
+
+
 def _sizes(frames: DataFrame) -> DataFrame:
     return frames.select("image").distinct().withColumns({"width": F.lit(120), "height": F.lit(90)})
 
@@ -306,16 +314,18 @@ y AS (SELECT *, unnest(range(greatest(cy - greatest(ax, ay), 0)::INT, least(cy +
 SELECT part, face, count(*) AS pixels, sum(x)::BIGINT AS xs, sum(y)::BIGINT AS ys FROM p WHERE pow(((x - cx) * ux + (y - cy) * uy) / ax, 2) + pow(((y - cy) * ux - (x - cx) * uy) / ay, 2) <= 1 + 1e-9 GROUP BY part, face""")
 def face_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pixels each part of each face covers, and where."""
-    frames = _frames(spark, sf_dir)
+    frames = _spread(_frames(spark, sf_dir))
     shapes = face_geometry.part_ellipses(frames, {**face_geometry.FEATURES, **face_geometry.EYE_BAGS}).unionByName(face_geometry.part_ellipses(frames, face_geometry.SAMPLES, least=2)).unionByName(face_geometry.face_ovals(frames))
     inside = face_geometry.ellipse_pixels(shapes, _sizes(frames))
-    return inside.groupBy("part", "face").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").cast("long").alias("xs"), F.sum("y").cast("long").alias("ys"))
+    by_image = inside.groupBy("image", "part", "face").agg(F.count(F.lit(1)).alias("pixels"), F.sum("x").alias("xs"), F.sum("y").alias("ys"))
+    return by_image.repartition(C.parts(frames, FACES_A_TASK), "face").groupBy("part", "face").agg(*[F.sum(c).cast("long").alias(c) for c in ("pixels", "xs", "ys")])
 
 
 @query(f"""WITH {_FACE_SQL}, px AS (SELECT image, x, y FROM (SELECT DISTINCT image FROM fr), (SELECT unnest(range(0, 120, 5)) AS x), (SELECT unnest(range(0, 90, 5)) AS y)),
 o AS (SELECT px.*, face, row_number() OVER (PARTITION BY px.image, x, y ORDER BY sqrt(pow(x - ox, 2) + pow(y - oy, 2)) / iod, face) AS i FROM px JOIN fr USING (image)) SELECT face AS owner, count(*) AS pixels, sum(x + y)::BIGINT AS places FROM o WHERE i = 1 GROUP BY face""")
 def face_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many pixels of a grid over each image are nearest to each face."""
-    frames = _frames(spark, sf_dir)
+    frames = _spread(_frames(spark, sf_dir))
     grid = _sizes(frames).select("image", F.explode(F.sequence(F.lit(0), F.lit(119), F.lit(5))).alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(89), F.lit(5))))
-    return face_geometry.owners(grid, frames).groupBy("owner").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("x") + F.col("y")).cast("long").alias("places"))
+    by_image = face_geometry.owners(grid, frames).groupBy("image", "owner").agg(F.count(F.lit(1)).alias("pixels"), F.sum(F.col("x") + F.col("y")).alias("places"))
+    return by_image.repartition(C.parts(frames, FACES_A_TASK), "owner").groupBy("owner").agg(*[F.sum(c).cast("long").alias(c) for c in ("pixels", "places")])

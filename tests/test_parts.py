@@ -7,11 +7,11 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from shutterlake.plans import catalog, gallery
+from shutterlake.plans import catalog, gallery, imaging
 from tests.test_queries import SF
 
 
-@pytest.mark.parametrize("module, limit, most, name", [(gallery, "ENTRIES_A_TASK", 2000, "album_photos")])
+@pytest.mark.parametrize("module, limit, most, name", [(imaging, "FACES_A_TASK", 50, "face_owners"), (imaging, "FACES_A_TASK", 50, "face_parts"), (gallery, "ENTRIES_A_TASK", 2000, "album_photos")])
 def test_parts_follow_the_rows(spark, monkeypatch, module, limit, most, name):
     def run(rows):
         monkeypatch.setattr(module, limit, rows)
