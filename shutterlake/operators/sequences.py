@@ -89,8 +89,9 @@ def burst_segments(items: DataFrame, rules: BurstRules = BurstRules()) -> DataFr
 
     w = Window.partitionBy("project", "__part").orderBy("__order")
     local = F.collect_list("__photo").over(w.rowsBetween(-most, -1))
-    rows = placed.withColumn("__local", local).join(starts, ["project", "__part"])
-    rows = rows.select("project", "__part", "__order", "__photo", _last(F.concat("__start", "__local"), most).alias("__before"))
+    # Rows of one id are told apart by their place, else what was found for one would go to another.
+    rows = placed.withColumns({"__local": local, "__place": F.row_number().over(w)}).join(starts, ["project", "__part"])
+    rows = rows.select("project", "__part", F.struct("__order", "__place").alias("__order"), "__photo", _last(F.concat("__start", "__local"), most).alias("__before"))
     previous = F.element_at(F.col("__before"), -1)
     rows = rows.withColumn("__gap", F.when(F.size("__before") > 0, gap(previous, F.col("__photo"))))
     named = F.exists("__before", lambda p: p["stem"] == F.col("__photo")["stem"])
@@ -133,13 +134,18 @@ def _last(photos: Column, most: int) -> Column:
     return F.when(F.size(photos) > most, F.slice(photos, F.greatest(F.size(photos) - most + 1, F.lit(1)), F.lit(most))).otherwise(photos)
 
 
-def burst_winners(segments: DataFrame, metrics: DataFrame) -> DataFrame:
-    """segments(project, id, anchor), metrics(id, quality, sharpness, eyes, blurred, dhash) -> project, anchor, id, is_best, similarity for bursts of two or more; ties go to the smallest id."""
+def with_winner(segments: DataFrame, metrics: DataFrame) -> DataFrame:
+    """segments(project, id, anchor), metrics(id, quality, sharpness, eyes, blurred, dhash, ...) -> both, with the burst's `best`, struct(id, dhash), and its `size`; ties go to the smallest id. A window holds one burst."""
     score = F.col("quality") * 0.40 + F.col("sharpness") * 0.35 + F.when(F.col("eyes") == "OPEN", 25.0).when(F.col("eyes") == "CLOSED", -40.0).otherwise(0.0) - F.when(F.col("blurred"), 50.0).otherwise(0.0)
-    rows = segments.join(metrics, "id").withColumn("score", score)
-    best = rows.groupBy("project", "anchor").agg(F.max_by(F.struct("id", "dhash"), F.struct(F.col("score"), -F.col("id"))).alias("b"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    near = F.greatest(F.lit(50.0), 100 - hamming(F.col("b.dhash"), F.col("dhash")) / 64 * 100)
-    return rows.join(best, ["project", "anchor"]).select("project", "anchor", "id", (F.col("id") == F.col("b.id")).alias("is_best"), F.round(near, 1).alias("similarity"))
+    burst = Window.partitionBy("project", "anchor")
+    first = F.first(F.struct("id", "dhash")).over(burst.orderBy(score.desc_nulls_last(), "id"))
+    return segments.join(metrics, "id").withColumns({"best": first, "size": F.count(F.lit(1)).over(burst)})
+
+
+def burst_winners(segments: DataFrame, metrics: DataFrame) -> DataFrame:
+    """segments and metrics as with_winner takes them -> project, anchor, id, is_best, similarity for bursts of two or more."""
+    near = F.greatest(F.lit(50.0), 100 - hamming(F.col("best.dhash"), F.col("dhash")) / 64 * 100)
+    return with_winner(segments, metrics).where("size > 1").select("project", "anchor", "id", (F.col("id") == F.col("best.id")).alias("is_best"), F.round(near, 1).alias("similarity"))
 
 
 def suppress(boxes: DataFrame, key: str, most_overlap: float = 0.35) -> DataFrame:

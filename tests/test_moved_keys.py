@@ -31,6 +31,26 @@ def test_bursts_over_parts_by_number(spark, moved, name):
     assert normal([r.asDict() for r in found.collect()], columns) == want
 
 
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """Every vector twice, and once more in a project of its own: ids are those of several photos."""
+    folder = str(tmp_path_factory.mktemp("repeated"))
+    rows = spark.read.parquet(f"{SF}/embeddings.parquet")
+    rows.unionByName(rows).unionByName(rows.withColumn("label", rows.label + 10)).coalesce(1).write.parquet(f"{folder}/embeddings.parquet")
+    return folder
+
+
+@pytest.mark.parametrize("name", ["burst_segments", "burst_winner"])
+def test_bursts_over_repeated_ids(spark, repeated, name):
+    found = catalog.queries()[name](spark, repeated)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{repeated}/embeddings.parquet/*.parquet'")
+    result = con.execute(catalog.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    want = normal([dict(zip(names, r, strict=True)) for r in result.fetchall()], names)
+    assert normal([r.asDict() for r in found.collect()], names) == want
+
+
 def test_vibrance_at_a_hundredth(spark, tmp_path):
     """A sum of saturation that falls below a whole hundredth if a share is scaled to 255 and back."""
     rows = [(792162, n, p, s) for n, p, s in [(2, 116967, 5920), (3, 113706, 5399), (2, 116591, 5159), (4, 108345, 5756), (3, 108173, 5664), (5, 107934, 5987)]]
