@@ -26,11 +26,10 @@ def decide(items: DataFrame, measured: DataFrame, burst_rules: sequences.BurstRu
     blurred, exposure, faces, face_sharp, face_hires, brightness, eyes, candid,
     dhash, ...). A group is named by its first photo.
     """
-    segments = sequences.burst_segments(items, burst_rules)
-    winners = sequences.burst_winners(segments, measured.select("id", "quality", "sharpness", "eyes", "blurred", "dhash"))
-    grouped = winners.select("id", F.concat(F.lit("Group "), "anchor").alias("group_id"), "is_best")
+    grouped = F.col("size") > 1
+    named = {"group_id": F.when(grouped, F.concat(F.lit("Group "), "anchor")), "is_best": F.when(grouped, F.col("id") == F.col("best.id"))}
+    rows = sequences.with_winner(sequences.burst_segments(items, burst_rules), measured).withColumns(named)
     names = ("faces", "face_sharp", "face_hires", "brightness", "sharpness", "exposure", "eyes", "candid", "group_id", "is_best")
-    rows = segments.select("project", "id").join(measured, "id").join(grouped, "id", "left")
     verdict = rules.cull({k: F.col(k) for k in names} | {"mean": mean, "focus": F.lit(-1.0)})
     return rows.select("project", "id", "group_id", "is_best", verdict.alias("d")).select("project", "id", "group_id", "is_best", "d.label", "d.confidence")
 
